@@ -54,11 +54,8 @@ def daily_dense(spark, sf_dir) -> DataFrame:
 
 
 def order_days(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-
-
-def event_days(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
+    """Distinct order days, stored: one row per calendar day, read many times by the calendar joins."""
+    return materialize(table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct(), "days")
 
 
 def daily_targets(spark, sf_dir) -> DataFrame:
@@ -92,7 +89,6 @@ DAILY_DENSE = DAILY + """, ddense AS (
   FROM (SELECT DISTINCT series_id FROM daily) s CROSS JOIN (SELECT DISTINCT day FROM daily) d
   LEFT JOIN daily o ON o.series_id = s.series_id AND o.day = d.day)"""
 ORDER_DAYS = "days AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)"
-EVENT_DAYS = "days AS (SELECT DISTINCT ts::DATE AS day FROM events)"
 
 # ---- holidays and school periods, by rule for the years of the data -------------------------------------------------
 

@@ -10,6 +10,7 @@ from tempora.functions.calendar import (CATEGORY1_EN, CATEGORY1_ID, CATEGORY2_EN
 from tempora.operators.grid import day_grid, fill_forward_backward
 from tempora.operators.select import label_slice
 from tempora.plans.calendar_table import calendar_table
+from tempora.session import materialize
 
 from .base import (CALENDAR, DAILY, HOURLY, ORDER_DAYS, event_counts, holidays_for, order_counts,
                    order_days, periods_for, query, table)
@@ -134,7 +135,7 @@ def calendar_table_query(spark, sf_dir):
     """A six-hour grid over the order dates, starting at 06:00, so that clock code 0 is 06:00."""
     orders = table(spark, sf_dir, "orders")
     bounds = orders.agg((F.min("o_orderdate") + D.seconds(6 * 3600)).alias("lo"), F.max("o_orderdate").alias("hi"))
-    grid = bounds.select(F.explode(D.timestamp_list("lo", "hi", 6 * 3600)).alias("ts"))
+    grid = materialize(bounds.select(F.explode(D.timestamp_list("lo", "hi", 6 * 3600)).alias("ts")), "grid")
     days = grid.select(F.to_date("ts").alias("day")).distinct()
     return calendar_table(grid, holidays_for(days), periods_for(days))
 

@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import dot, norm
+from ..functions.vectors import dot, norm, unit
+from ..session import materialize
 
 
 def left_join_all(frames: Sequence[DataFrame], key: str = "ts") -> DataFrame:
@@ -55,11 +56,6 @@ def _angle(a: Column, b: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
 
 
-def _unit(v: Column) -> Column:
-    length = norm(v)
-    return F.transform(v, lambda e: e / length)
-
-
 def nearest_vectors(queries: DataFrame, keys: DataFrame, n_cells: int = 32, chunk: int = 256) -> DataFrame:
     """For each distinct query vector the key vector with the largest cosine similarity.
 
@@ -73,19 +69,18 @@ def nearest_vectors(queries: DataFrame, keys: DataFrame, n_cells: int = 32, chun
     """
     q = queries.select("q").distinct()
     k = keys.select("k").distinct()
-    k_unit = k.where(norm(F.col("k")) > 0).withColumn("ku", _unit(F.col("k")))
+    k_unit = k.where(norm(F.col("k")) > 0).withColumn("ku", unit(F.col("k")))
 
     centre = F.struct(F.md5(F.to_json(F.struct("k"))).alias("h"), F.col("ku").alias("u"))
     centres = k_unit.select(centre.alias("c")).orderBy("c").limit(n_cells)
     centre_list = centres.agg(F.array_sort(F.collect_list("c")).alias("list")).scalar()
 
-    placed = (
+    placed = materialize(
         k_unit.withColumn("cs", centre_list)
         .withColumn("best", F.array_min(F.transform(
             F.col("cs"), lambda c, i: F.struct(_angle(c["u"], F.col("ku")).alias("a"), i.alias("cell")))))
         .select("k", "ku", F.col("best.cell").alias("cell"), F.col("best.a").alias("a"),
-                F.element_at("cs", F.col("best.cell") + 1)["u"].alias("u"))
-    )
+                F.element_at("cs", F.col("best.cell") + 1)["u"].alias("u")), "placed")
     cells = placed.groupBy("cell").agg(F.min("a").alias("near"), F.max("a").alias("far"),
                                        F.count(F.lit(1)).alias("n"), F.first("u").alias("u"))
     cell_list = cells.agg(F.collect_list(F.struct("cell", "near", "far", "n", "u")).alias("list")).scalar()
@@ -100,7 +95,7 @@ def nearest_vectors(queries: DataFrame, keys: DataFrame, n_cells: int = 32, chun
         c["cell"].alias("cell"), c["near"].alias("near"), c["far"].alias("far"), _angle(c["u"], F.col("qu")).alias("a")))
     bound = F.array_min(F.transform(F.col("reach"), lambda c: c["a"] + c["near"])) + F.lit(_ANGLE_SLACK)
     visits = (
-        q.where(norm(F.col("q")) > 0).withColumn("qu", _unit(F.col("q"))).withColumn("cells", cell_list)
+        q.where(norm(F.col("q")) > 0).withColumn("qu", unit(F.col("q"))).withColumn("cells", cell_list)
         .withColumn("reach", reach).withColumn("bound", bound)
         .select("q", "qu", F.explode(F.filter(
             F.col("reach"),

@@ -20,6 +20,7 @@ def build_session(app: str = "tempora", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call-site capture slows plan building
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")

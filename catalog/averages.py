@@ -45,7 +45,7 @@ def _xy(spark, sf_dir):
 
 
 def _model_rows(fitted):
-    return fitted.tables["model"].select("series_id", F.col("x")[0].cast("int").alias("wd"), F.col("x")[1].cast("int").alias("mon"),
+    return ha.as_table(fitted).select("series_id", F.col("x")[0].cast("int").alias("wd"), F.col("x")[1].cast("int").alias("mon"),
                                          F.round("pred", 6).alias("pred"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.dates import format_padded, parse_timestamp
 from tempora.operators import models
+from tempora.operators.models import ha
 from tempora.operators.grid import day_grid
 from tempora.operators.reshape import day_time_pivot, long_to_wide
 from tempora.plans.forecast import Job, fit_predict, optimise_fit_predict
@@ -60,7 +61,7 @@ def model_store_query(spark, sf_dir):
     path = models.save_model(models.fit("ha", x, y), fresh_path(spark, "model"), infos={"source": "orders"})
     loaded = models.load_model(spark, path)
     infos = read_manifest(spark, f"{path}/manifest")
-    return loaded.tables["model"].select(
+    return ha.as_table(loaded).select(
         "series_id", F.col("x")[0].cast("int").alias("wd"), F.col("x")[1].cast("int").alias("mon"), F.round("pred", 6).alias("pred"),
         F.lit(infos["source"]).alias("source"), F.lit(loaded.choice).alias("estimator"))
 

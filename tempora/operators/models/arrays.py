@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+MAX_CELLS = 20_000_000  # of a day matrix that is sent to every executor: 160 MB
 
-def design(x: DataFrame, sets: list[str], max_cells: int = 50_000_000) -> dict[tuple, dict]:
-    """The day matrix per set as numpy: {set: {"days": [...], "x": (n, p)}}.
+
+def matrix_cells(x: DataFrame) -> int:
+    return x.agg(F.sum(F.size("x")).alias("n")).first()["n"] or 0
+
+
+def design(x: DataFrame, sets: list[str], limit: int = MAX_CELLS) -> dict[tuple, dict]:
+    """The day matrix per set as numpy: {set: {"days": days since 1970, "x": (n, p)}}.
 
     It has one row per calendar day and is shared by every series, so it does not grow with the observations; its
     size is counted on the cluster before anything is fetched.
     """
-    size = x.agg(F.sum(F.size("x")).alias("n")).first()["n"] or 0
-    if size > max_cells:
-        raise ValueError(f"day matrix has {size} cells, more than {max_cells}; drop constant features first")
-    rows = x.select(*sets, F.date_format("day", "yyyy-MM-dd").alias("day"), "x").toPandas()
-    out: dict[tuple, dict] = {}
-    groups = rows.groupby(sets) if sets else [((), rows)]
-    for key, part in groups:
-        key = key if isinstance(key, tuple) else (key,)
-        part = part.sort_values("day")
-        out[tuple(int(k) for k in key)] = {"days": part["day"].tolist(), "x": np.array(part["x"].tolist(), dtype=float)}
-    return out
+    size = matrix_cells(x)
+    if size > limit:
+        raise ValueError(f"day matrix has {size} cells, more than {limit}; drop constant features first")
+    rows = x.select(*sets, F.unix_date("day").alias("day"), "x").toPandas()
+    return {key: {"days": part["day"].to_numpy(), "x": np.array(part["x"].tolist(), dtype=float)}
+            for key, part in by_set(rows.sort_values("day"), sets)}
+
+
+def by_set(pdf: pd.DataFrame, sets: list[str]):
+    for key, part in (pdf.groupby(sets) if sets else [((), pdf)]):
+        yield tuple(int(k) for k in (key if isinstance(key, tuple) else (key,))), part
 
 
 def set_key(sets: list[str]):
@@ -31,7 +38,7 @@ def set_key(sets: list[str]):
 
 
 def target_vectors(y: DataFrame, units: list[str]) -> DataFrame:
-    """(units, step, ys): the targets of one model in day order. A vector has one entry per calendar day."""
-    cells = F.array_sort(F.collect_list(F.struct("day", "y")))
-    return y.groupBy(*units, "step").agg(F.transform(cells, lambda c: c["y"]).alias("ys"),
-                                         F.transform(cells, lambda c: F.date_format(c["day"], "yyyy-MM-dd")).alias("days"))
+    """(units, step, days, ys): the targets of one model in day order. A vector has one entry per calendar day."""
+    cells = F.array_sort(F.collect_list(F.struct(F.unix_date("day").alias("d"), F.col("y"))))
+    grouped = y.groupBy(*units, "step").agg(cells.alias("c"))
+    return grouped.select(*units, "step", F.col("c.d").alias("days"), F.col("c.y").alias("ys"))

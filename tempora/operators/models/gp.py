@@ -1,8 +1,10 @@
 """Gaussian process mean with the kernel 1 * RBF(1) and noise ``alpha`` on the diagonal.
 
-Days with equal features are collapsed: the mean on distinct tuples with the noise divided by their number is the
-same mean. The tuples are calendar features, so their kernel matrix is small and shared by every series; Spark
-averages the targets per tuple and all series are solved in batches with one inverse.
+Days with equal features are collapsed: the mean on distinct tuples with the noise divided by their number of days is
+the same mean. The tuples are calendar features, so their kernel matrix is small and shared by every series. Spark
+averages the targets per tuple; with K the kernel of the tuples and N their day counts,
+``(K + alpha / N)^-1 = N^0.5 Q (L + alpha)^-1 Q' N^0.5`` where ``Q L Q'`` are the eigenvectors and eigenvalues of
+``N^0.5 K N^0.5``, so one decomposition serves every series, step and ``alpha``.
 """
 
 from __future__ import annotations
@@ -11,10 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import design, set_key
+from .arrays import MAX_CELLS, by_set, design, set_key
 from .base import Fitted, expand_params
-
-MAX_TUPLES = 5000
+from .tuples import tag_days, tuple_table
 
 
 def rbf(a: np.ndarray, b: np.ndarray, length: float = 1.0) -> np.ndarray:
@@ -22,81 +23,83 @@ def rbf(a: np.ndarray, b: np.ndarray, length: float = 1.0) -> np.ndarray:
     return np.exp(-np.maximum(d, 0.0) / (2 * length ** 2))
 
 
-def _basis(x: DataFrame, sets: list[str]) -> dict[tuple, dict]:
-    """Distinct tuples in a fixed order with the number of their days, per set."""
+def _decompose(tuples: DataFrame, sets: list[str]) -> dict[tuple, dict]:
+    """Eigenvectors and eigenvalues per set. The squared number of tuples is bounded before anything is fetched."""
+    counts = [r["m"] for r in tuples.groupBy(*sets).agg(F.count(F.lit(1)).alias("m")).collect()]
+    if sum(m * m for m in counts) > MAX_CELLS:
+        raise ValueError(f"too many distinct feature tuples for an exact solution: {counts}")
     out = {}
-    for key, d in design(x, sets).items():
-        tuples, counts = np.unique(d["x"], axis=0, return_counts=True)
-        if len(tuples) > MAX_TUPLES:
-            raise ValueError(f"{len(tuples)} distinct feature tuples, more than {MAX_TUPLES}")
-        out[key] = {"x": tuples, "n": counts}
+    for key, part in by_set(tuples.toPandas().sort_values("tuple_id"), sets):
+        x, n = np.array(part["x"].tolist(), dtype=float), part["n_days"].to_numpy(dtype=float)
+        root = np.sqrt(n)
+        values, vectors = np.linalg.eigh(rbf(x, x) * np.outer(root, root))
+        out[key] = {"n": n, "values": np.maximum(values, 0.0), "vectors": vectors}
     return out
 
 
 def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[str], sets: list[str],
         chosen: DataFrame | None) -> Fitted:
-    spark = x.sparkSession
-    basis = _basis(x, sets)
-    inverse = {(k, i): np.linalg.inv(rbf(b["x"], b["x"]) + np.diag(p.get("alpha", 1e-10) / b["n"]))
-               for k, b in basis.items() for i, p in enumerate(grid)}
-    shared = spark.sparkContext.broadcast((basis, inverse))
-
-    means = y.join(x, [*sets, "day"]).groupBy(*units, "step", "x").agg(F.avg("y").alias("m"))
-    vectors = means.groupBy(*units, "step").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("x", "m"))), lambda c: c["m"]).alias("ms"))
+    tagged = tag_days(x, sets)
+    tuples = tuple_table(tagged, sets)
+    shared = x.sparkSession.sparkContext.broadcast(_decompose(tuples, sets))
+    means = (y.join(tagged.select(*sets, "day", "tuple_id"), [*sets, "day"])
+             .groupBy(*units, "step", "tuple_id").agg(F.avg("y").alias("m")))
+    cells = F.array_sort(F.collect_list(F.struct("tuple_id", "m")))
+    vectors = means.groupBy(*units, "step").agg(cells.alias("c")).select(*units, "step", F.col("c.m").alias("ms"))
     vectors = expand_params(vectors, grid, units, chosen)
 
     @F.pandas_udf("struct<dual array<double>, centre double>")
     def solve(ms: pd.Series, param: pd.Series, key: pd.Series) -> pd.DataFrame:
-        basis, inverse = shared.value
         duals, centres = [], []
         for m, p, k in zip(ms, param, key):
-            k = tuple(int(v) for v in k)
-            m = np.asarray(m, dtype=float)
-            n = basis[k]["n"]
-            centre = float((m * n).sum() / n.sum()) if grid[int(p)].get("normalize_y", False) else 0.0
-            duals.append(inverse[k, int(p)] @ (m - centre))
+            d, p = shared.value[tuple(int(v) for v in k)], grid[int(p)]
+            m, root = np.asarray(m, dtype=float), np.sqrt(d["n"])
+            centre = float((m * d["n"]).sum() / d["n"].sum()) if p.get("normalize_y", False) else 0.0
+            inner = d["vectors"].T @ (root * (m - centre)) / (d["values"] + p.get("alpha", 1e-10))
+            duals.append(root * (d["vectors"] @ inner))
             centres.append(centre)
         return pd.DataFrame({"dual": duals, "centre": centres})
 
     table = vectors.withColumn("s", solve("ms", "param_idx", set_key(sets))).select(
         *units, "param_idx", "step", "s.dual", "s.centre")
-    rows = [(*k, i, [float(v) for v in t]) for k, b in basis.items() for i, t in enumerate(b["x"])]
-    schema = ", ".join([f"{s} int" for s in sets] + ["idx int", "x array<double>"])
-    return Fitted(choice, {"model": table, "basis": spark.createDataFrame(rows, schema)}, grid, units, sets)
+    basis = tuples.select(*[F.col(s).cast("int").alias(s) for s in sets], F.col("tuple_id").alias("idx"), "x")
+    return Fitted(choice, {"model": table, "basis": basis}, grid, units, sets)
 
 
 def predict(fitted: Fitted, x_new: DataFrame) -> DataFrame:
-    """One batched product of kernel rows and dual coefficients gives all days of a model at once."""
-    return predict_with_kernel(fitted, x_new, lambda a, b, params: rbf(a, b))
+    return predict_with_kernel(fitted, x_new, lambda a, b, params: rbf(a, b), per_params=False)
+
 
+def predict_with_kernel(fitted: Fitted, x_new: DataFrame, kernel, per_params: bool = True) -> DataFrame:
+    """One batched product of kernel rows and dual coefficients gives all days of a model at once.
 
-def predict_with_kernel(fitted: Fitted, x_new: DataFrame, kernel) -> DataFrame:
+    Basis and new days are calendar-sized; the kernel between them is computed on the executors, once per batch.
+    """
     sets, grid = fitted.sets, fitted.grid
     spark = x_new.sparkSession
-    basis = {}
-    for key, part in _groups(fitted.tables["basis"].toPandas(), sets):
-        basis[key] = np.array(part.sort_values("idx")["x"].tolist(), dtype=float)
+    size = fitted.tables["basis"].agg(F.sum(F.size("x")).alias("n")).first()["n"] or 0
+    if size > MAX_CELLS:
+        raise ValueError(f"basis has {size} cells, more than {MAX_CELLS}")
+    basis = {key: np.array(part["x"].tolist(), dtype=float)
+             for key, part in by_set(fitted.tables["basis"].toPandas().sort_values("idx"), sets)}
     new = design(x_new, sets)
-    kernels = {(k, i): kernel(d["x"], basis[k], p) for k, d in new.items() for i, p in enumerate(grid) if k in basis}
-    shared = spark.sparkContext.broadcast(kernels)
-    days = {k: d["days"] for k, d in new.items()}
+    shared = spark.sparkContext.broadcast({k: (d["x"], basis[k]) for k, d in new.items() if k in basis})
 
     @F.pandas_udf("array<double>")
     def evaluate(dual: pd.Series, centre: pd.Series, param: pd.Series, key: pd.Series) -> pd.Series:
-        out = [shared.value[tuple(int(v) for v in k), int(p)] @ np.asarray(d, dtype=float) + c
-               for d, c, p, k in zip(dual, centre, param, key)]
+        kernels: dict = {}
+        out = []
+        for d, c, p, k in zip(dual, centre, param, key):
+            k, p = tuple(int(v) for v in k), int(p)
+            place = (k, p if per_params else 0)
+            if place not in kernels:
+                kernels[place] = kernel(*shared.value[k], grid[p])
+            out.append(kernels[place] @ np.asarray(d, dtype=float) + c)
         return pd.Series(out)
 
-    rows = [(*k, i, d) for k, ds in days.items() for i, d in enumerate(ds)]
-    labels = spark.createDataFrame(rows, ", ".join([f"{s} int" for s in sets] + ["place int", "day string"]))
+    rows = [(*k, i, int(d)) for k, data in new.items() for i, d in enumerate(data["days"])]
+    labels = spark.createDataFrame(rows, ", ".join([f"{s} int" for s in sets] + ["place int", "d int"]))
     model = fitted.tables["model"].withColumn("p", evaluate("dual", "centre", "param_idx", set_key(sets)))
     flat = model.select(*fitted.units, "param_idx", "step", F.posexplode("p").alias("place", "pred"))
     return flat.join(labels, [*sets, "place"]).select(
-        *fitted.units, "param_idx", F.to_date("day").alias("day"), "step", "pred")
-
-
-def _groups(pdf: pd.DataFrame, sets: list[str]):
-    for key, part in (pdf.groupby(sets) if sets else [((), pdf)]):
-        key = key if isinstance(key, tuple) else (key,)
-        yield tuple(int(k) for k in key), part
+        *fitted.units, "param_idx", F.date_from_unix_date("d").alias("day"), "step", "pred")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..joins import nearest_vectors
 from ..stats import group_median
-from .base import Fitted, expand_params
+from .base import Fitted
+from .tuples import tag_days, tuple_table
 
 METHODS = ("mean", "median")
 
@@ -24,57 +25,69 @@ def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[s
 
     The mean is a partial aggregation; the median counts equal values first and never gathers a group.
     """
-    complete = x.where(~F.exists("x", lambda e: e.isNull()))
-    data = y.join(complete, [*sets, "day"])
-    keys = [*units, "step", "x"]
     methods = [_method(p) for p in grid]
+    tagged = tag_days(x, sets)
+    data = y.join(tagged.select(*sets, "day", "tuple_id"), [*sets, "day"])
+    keys = [*units, "step", "tuple_id"]
     parts = []
     if "mean" in methods:
         parts.append(data.groupBy(*keys).agg(F.avg("y").alias("pred")).withColumn("method", F.lit("mean")))
     if "median" in methods:
         parts.append(group_median(data, keys, "y", "pred").withColumn("method", F.lit("median")))
     fitted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    index = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(methods)])
-    own = F.transform(F.filter(index, lambda e: e["m"] == F.col("method")), lambda e: e["i"])
-    table = fitted.withColumn("param_idx", F.explode(own)).drop("method")
+    places = {m: F.array(*[F.lit(i) for i, own in enumerate(methods) if own == m]) for m in METHODS}
+    own = F.when(F.col("method") == "mean", places["mean"]).otherwise(places["median"]).cast("array<int>")
+    table = fitted.withColumn("param_idx", F.explode(own)).select(*units, "param_idx", "step", "tuple_id", "pred")
     if chosen is not None:
-        table = table.join(chosen, [c for c in chosen.columns], "left_semi")
-    tables = {"model": table.select(*units, "param_idx", "step", "x", "pred"),
-              "tuples": complete.select(*sets, "x").distinct()}
-    return Fitted(choice, tables, grid, units, sets)
+        table = table.join(chosen, chosen.columns, "left_semi")
+    return Fitted(choice, {"model": table, "tuples": tuple_table(tagged, sets)}, grid, units, sets)
+
+
+def as_table(fitted: Fitted) -> DataFrame:
+    """The model with its feature tuples spelled out: (units, param_idx, step, x, pred)."""
+    tuples = fitted.tables["tuples"].select(*fitted.sets, "tuple_id", "x")
+    return fitted.tables["model"].join(tuples, [*fitted.sets, "tuple_id"]).select(
+        *fitted.units, "param_idx", "step", "x", "pred")
 
 
 def refit(old: Fitted, new: Fitted) -> Fitted:
-    """New tuples replace old ones, old tuples that were not seen again stay."""
-    key = [*new.units, "param_idx", "step", "x"]
-    kept = old.tables["model"].join(new.tables["model"].select(*key), key, "left_anti")
-    tables = {"model": new.tables["model"].unionByName(kept),
-              "tuples": new.tables["tuples"].unionByName(old.tables["tuples"]).distinct()}
-    return Fitted(new.choice, tables, new.grid, new.units, new.sets)
+    """New tuples replace old ones, old tuples that were not seen again stay. Tuples are numbered anew."""
+    sets = new.sets
+    both = old.tables["tuples"].unionByName(new.tables["tuples"]).groupBy(*sets, "x").agg(F.sum("n_days").alias("n_days"))
+    tuples = both.withColumn("tuple_id", F.row_number().over(W.partitionBy(*sets).orderBy("x")) - 1)
+
+    def renumber(fitted: Fitted) -> DataFrame:
+        ids = fitted.tables["tuples"].select(*sets, "x", F.col("tuple_id").alias("_old"))
+        ids = ids.join(tuples.select(*sets, "x", "tuple_id"), [*sets, "x"]).drop("x")
+        model = fitted.tables["model"].withColumnRenamed("tuple_id", "_old").join(ids, [*sets, "_old"])
+        return model.select(*new.units, "param_idx", "step", "tuple_id", "pred")
+
+    fresh = renumber(new)
+    key = [*new.units, "param_idx", "step", "tuple_id"]
+    kept = renumber(old).join(fresh.select(*key), key, "left_anti")
+    return Fitted(new.choice, {"model": fresh.unionByName(kept), "tuples": tuples}, new.grid, new.units, sets)
 
 
-def tuple_map(known: DataFrame, asked: DataFrame) -> DataFrame:
-    """(x, model_x) of distinct tuples: the tuple itself where it is known, else the most similar known one.
+def match_days(tuples: DataFrame, x_new: DataFrame, sets: list[str]) -> DataFrame:
+    """(sets, day, tuple_id): each day's own tuple, or the known one most similar by cosine.
 
-    Both tables are distinct feature tuples of days, far fewer than rows; the similarity search is planned only when
-    some tuple is unknown.
+    Only calendar-sized tables take part, and the search is planned only when some tuple is unknown. Models per fold
+    know different tuples each; they answer exact matches only.
     """
-    exact = asked.join(known, "x", "left_semi").select("x", F.col("x").alias("model_x"))
-    unknown = asked.join(known, "x", "left_anti")
+    exact = x_new.join(tuples, [*sets, "x"]).select(*sets, "day", "tuple_id")
+    if sets:
+        return exact
+    unknown = x_new.join(tuples, "x", "left_anti")
     if unknown.isEmpty():
         return exact
-    near = nearest_vectors(unknown.select(F.col("x").alias("q")), known.select(F.col("x").alias("k")))
-    return exact.unionByName(near.select(F.col("q").alias("x"), F.col("k").alias("model_x")))
+    near = nearest_vectors(unknown.select(F.col("x").alias("q")), tuples.select(F.col("x").alias("k")))
+    found = (unknown.join(near.select(F.col("q").alias("x"), "k"), "x")
+             .join(tuples.select(F.col("x").alias("k"), "tuple_id"), "k").select("day", "tuple_id"))
+    return exact.unionByName(found)
 
 
 def predict(fitted: Fitted, x_new: DataFrame) -> DataFrame:
-    """Look up each day's tuple, or the nearest known one.
-
-    Models per fold (``sets``) know different tuples each; they answer exact matches only.
-    """
+    """Days meet the model rows of their tuple; days are few, model rows may be many."""
     sets = fitted.sets
-    days = x_new.select(*sets, "day", "x")
-    if not sets:
-        mapping = tuple_map(fitted.tables["tuples"], days.select("x").distinct())
-        days = days.join(mapping, "x").select("day", F.col("model_x").alias("x"))
-    return days.join(fitted.tables["model"], [*sets, "x"]).select(*fitted.units, "param_idx", "day", "step", "pred")
+    days = match_days(fitted.tables["tuples"].select(*sets, "tuple_id", "x"), x_new.select(*sets, "day", "x"), sets)
+    return fitted.tables["model"].join(days, [*sets, "tuple_id"]).select(*fitted.units, "param_idx", "day", "step", "pred")

@@ -1,8 +1,9 @@
-"""Least squares and elastic net from aggregated moments.
+"""Least squares and elastic net for every series and step at once.
 
-Spark reduces the data to moments: the Gram matrix of the day matrix (one per set, shared by every series and step)
-and the products of features and targets (per unit and step). Only these leave the aggregation; each small system is
-then solved in Arrow batches on the executors.
+The features of a day are the same for all series, so the day matrix is calendar-sized and sent to the executors once,
+after its size is checked. Spark shuffles each target once, into one vector per model, and the small systems are solved
+in Arrow batches on the executors. A day matrix beyond the bound is never gathered: Spark then reduces it to its Gram
+matrix and the targets to their products with the features.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import set_key
+from .arrays import MAX_CELLS, by_set, design, matrix_cells, set_key, target_vectors
 from .base import Fitted, expand_params
 
-MAX_FEATURES = 4096
+MAX_GRAM = 8_000_000  # numbers in all Gram matrices together: 64 MB
 
 
 def gram_table(x: DataFrame, sets: list[str]) -> DataFrame:
@@ -33,7 +34,7 @@ def gram_table(x: DataFrame, sets: list[str]) -> DataFrame:
                 a = np.column_stack([np.ones(len(a)), a])
                 sums[key] = sums.get(key, 0) + a.T @ a
         for key, g in sums.items():
-            i, j = np.nonzero(g)
+            i, j = np.nonzero(g)  # one-hot features leave most products zero
             yield pd.DataFrame({**{s: k for s, k in zip(sets, key)}, "i": i, "j": j, "g": g[i, j]})
 
     schema = ", ".join([f"{s} int" for s in sets] + ["i int", "j int", "g double"])
@@ -56,24 +57,19 @@ def moment_table(x: DataFrame, y: DataFrame, units: list[str], sets: list[str])
 
 
 def collect_gram(x: DataFrame, sets: list[str]) -> dict[tuple, np.ndarray]:
-    """Gram matrices as driver state: (p+1) squared numbers per set, with p checked beforehand."""
+    """Gram matrices as driver state: (p+1) squared numbers per set, bounded beforehand."""
     p = x.agg(F.max(F.size("x"))).first()[0] or 0
-    if p > MAX_FEATURES:
-        raise ValueError(f"{p} features, more than {MAX_FEATURES}; drop constant features first")
+    n_sets = x.select(*sets).distinct().count() if sets else 1
+    if n_sets * (p + 1) ** 2 > MAX_GRAM:
+        raise ValueError(f"{p} features in {n_sets} sets are too many; drop constant features first")
     out: dict[tuple, np.ndarray] = {}
-    for key, part in _by_set(gram_table(x, sets).toPandas(), sets):
+    for key, part in by_set(gram_table(x, sets).toPandas(), sets):
         g = np.zeros((p + 1, p + 1))
         g[part["i"], part["j"]] = part["g"]
         out[key] = g
     return out
 
 
-def _by_set(pdf: pd.DataFrame, sets: list[str]):
-    for key, part in (pdf.groupby(sets) if sets else [((), pdf)]):
-        key = key if isinstance(key, tuple) else (key,)
-        yield tuple(int(k) for k in key), part
-
-
 def least_squares(gram: np.ndarray, moments: np.ndarray, intercept: bool = True) -> np.ndarray:
     """Coefficients (intercept first) for a batch of targets; the shortest solution if features are dependent."""
     if not intercept:
@@ -122,33 +118,113 @@ def elastic_net(gram: np.ndarray, moments: np.ndarray, alpha: float = 1.0, l1_ra
     return np.column_stack([first, w.T])
 
 
+def gram(x: np.ndarray) -> np.ndarray:
+    a = np.column_stack([np.ones(len(x)), x])
+    return a.T @ a
+
+
+def solve_batch(choice: str, g: np.ndarray, moments: np.ndarray, params: dict) -> np.ndarray:
+    if choice == "lr":
+        return least_squares(g, moments, params.get("fit_intercept", True))
+    return elastic_net(g, moments, **params)
+
+
+def solve_wide(choice: str, x: np.ndarray, ys: np.ndarray, params: dict) -> np.ndarray:
+    """The same solutions from the day matrix itself, for more features than a Gram matrix could hold."""
+    intercept = params.get("fit_intercept", True)
+    mx, my = (x.mean(0), ys.mean(1)) if intercept else (np.zeros(x.shape[1]), np.zeros(len(ys)))
+    xc, yc = x - mx, (ys - my[:, None]).T
+    if choice == "lr":
+        w = np.linalg.lstsq(xc, yc, rcond=None)[0]
+    else:
+        w = _descend_wide(xc, yc, **params)
+    return np.column_stack([my - mx @ w, w.T])
+
+
+def _descend_wide(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, l1_ratio: float = 0.5, normalize: bool = False,
+                  positive: bool = False, max_iter: int = 1000, tol: float = 1e-4, **_) -> np.ndarray:
+    n = len(x)
+    length = np.sqrt((x * x).sum(0))
+    width = np.where(length > 0, length, 1.0) if normalize else np.ones(x.shape[1])
+    x, diag = x / width, (length / width) ** 2
+    l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
+    w, rest = np.zeros((x.shape[1], y.shape[1])), y.copy()
+    for _ in range(max_iter):
+        moved = 0.0
+        for j in np.flatnonzero(diag > 1e-12 * max(1.0, diag.max(initial=0.0))):
+            rho = x[:, j] @ rest + diag[j] * w[j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0) / (diag[j] + l2)
+            new = np.maximum(new, 0.0) if positive else new
+            step = new - w[j]
+            if step.any():
+                rest -= np.outer(x[:, j], step)
+                moved = max(moved, np.abs(step).max())
+            w[j] = new
+        if moved <= tol * 1e-4 * max(np.abs(w).max(initial=0.0), 1e-12):
+            break
+    return w / width[:, None]
+
+
 def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[str], sets: list[str],
         chosen: DataFrame | None) -> Fitted:
-    gram = x.sparkSession.sparkContext.broadcast(collect_gram(x, sets))
+    small = matrix_cells(x) <= MAX_CELLS
+    table = (_fit_vectors if small else _fit_moments)(choice, x, y, grid, units, sets, chosen)
+    return Fitted(choice, {"model": table.select(*units, "param_idx", "step", "coef")}, grid, units, sets)
+
+
+def _fit_vectors(choice, x, y, grid, units, sets, chosen) -> DataFrame:
+    data = design(x, sets)
+    if sum((d["x"].shape[1] + 1) ** 2 for d in data.values()) <= MAX_GRAM:
+        data = {k: {**d, "gram": gram(d["x"])} for k, d in data.items()}
+    shared = x.sparkSession.sparkContext.broadcast(data)
+    vectors = expand_params(target_vectors(y, units), grid, units, chosen)
+
+    def solve_many(x: np.ndarray, g: np.ndarray | None, ys: np.ndarray, params: dict) -> np.ndarray:
+        if g is None:
+            return solve_wide(choice, x, ys, params)
+        return solve_batch(choice, g, np.column_stack([ys.sum(1), ys @ x]), params)
+
+    @F.pandas_udf("array<double>")
+    def solve(days: pd.Series, ys: pd.Series, param: pd.Series, key: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(ys), index=ys.index, dtype=object)
+        full: dict[tuple, list] = {}
+        for r, own, k, p in zip(ys.index, days, key, param):
+            k, p = tuple(int(v) for v in k), int(p)
+            d = shared.value[k]
+            if len(own) == len(d["days"]) and np.array_equal(own, d["days"]):
+                full.setdefault((k, p), []).append(r)
+                continue
+            part = d["x"][np.searchsorted(d["days"], own)]  # a model with fewer days is solved on those days
+            g = gram(part) if "gram" in d else None
+            out.loc[r] = solve_many(part, g, np.asarray(ys.loc[r], dtype=float)[None, :], grid[p])[0]
+        for (k, p), rows in full.items():
+            d = shared.value[k]
+            for r, w in zip(rows, solve_many(d["x"], d.get("gram"), np.array(ys.loc[rows].tolist(), dtype=float), grid[p])):
+                out.loc[r] = w
+        return out
+
+    return vectors.withColumn("coef", solve("days", "ys", "param_idx", set_key(sets)))
+
+
+def _fit_moments(choice, x, y, grid, units, sets, chosen) -> DataFrame:
+    shared = x.sparkSession.sparkContext.broadcast(collect_gram(x, sets))
     moments = expand_params(moment_table(x, y, units, sets), grid, units, chosen)
 
     @F.pandas_udf("array<double>")
     def solve(m: pd.Series, param: pd.Series, key: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(m), dtype=object)
+        out = pd.Series([None] * len(m), index=m.index, dtype=object)
         keys = key.map(lambda k: tuple(int(v) for v in k))
         for (k, p), rows in m.groupby([keys, param]).groups.items():
-            g = gram.value[k]
+            g = shared.value[k]
             dense = np.zeros((len(rows), len(g)))
             for r, entries in enumerate(m.loc[rows]):
-                pairs = entries.items() if isinstance(entries, dict) else entries
-                for j, s in pairs:
+                for j, s in (entries.items() if isinstance(entries, dict) else entries):
                     dense[r, j] = s
-            params = grid[int(p)]
-            if choice == "lr":
-                w = least_squares(g, dense, params.get("fit_intercept", True))
-            else:
-                w = elastic_net(g, dense, **params)
-            for r, row in zip(rows, w):
-                out.loc[r] = row
+            for r, w in zip(rows, solve_batch(choice, g, dense, grid[int(p)])):
+                out.loc[r] = w
         return out
 
-    table = moments.select(*units, "param_idx", "step", solve("m", "param_idx", set_key(sets)).alias("coef"))
-    return Fitted(choice, {"model": table}, grid, units, sets)
+    return moments.withColumn("coef", solve("m", "param_idx", set_key(sets)))
 
 
 def predict(fitted: Fitted, x_new: DataFrame) -> DataFrame:

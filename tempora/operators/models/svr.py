@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import design, set_key, target_vectors
+from .arrays import MAX_CELLS, design, set_key, target_vectors
 from .base import Fitted, expand_params
 from .gp import predict_with_kernel
 
@@ -57,6 +57,8 @@ def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[s
         chosen: DataFrame | None) -> Fitted:
     spark = x.sparkSession
     data = design(x, sets)
+    if max(len(d["days"]) for d in data.values()) ** 2 > MAX_CELLS:
+        raise ValueError("too many training days for one kernel matrix")
     shared = spark.sparkContext.broadcast(data)
     vectors = expand_params(target_vectors(y, units), grid, units, chosen)
     spread = vectors.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *units, "step", "param_idx")
@@ -70,7 +72,7 @@ def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[s
             if (k, p) not in kernels:
                 a = shared.value[k]["x"]
                 kernels = {(k, p): kernel_matrix(a, a, grid[p])}
-            if list(own) != shared.value[k]["days"]:
+            if not np.array_equal(own, shared.value[k]["days"]):
                 raise ValueError("targets and day matrix hold different days; densify first")
             beta, b = solve_dual(kernels[k, p], np.asarray(target, dtype=float), grid[p].get("C", 1.0),
                                  grid[p].get("epsilon", 0.1), grid[p].get("tol", 1e-3))

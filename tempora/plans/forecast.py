@@ -49,7 +49,7 @@ class Job:
 
 @dataclass
 class Prepared:
-    """Day matrix, targets and split; ``x`` and ``y`` are stored tables."""
+    """Day matrix, targets (scaled on the fly if asked for) and split, over stored tables."""
 
     x: DataFrame
     y: DataFrame
@@ -65,13 +65,14 @@ def prepare(obs: DataFrame, features: DataFrame, job: Job, series: Sequence[str]
     """Slice, densify, align, reshape, split and scale.
 
     The features form one day matrix for all series (calendar-sized); the targets stay long. Both are written once
-    because tuning, fitting and predicting all read them.
+    because tuning, fitting and predicting all read them. ``obs`` should be a stored table: filling gaps reads its
+    series, its days and its values.
     """
     inside = label_between("ts", *job.window)
     obs = obs.where(inside)
     if series is not None:
         obs = obs.where(F.col("series_id").isin(list(series)))
-    obs = materialize(obs.select("series_id", "ts", "value"), "obs")
+    obs = obs.select("series_id", "ts", "value")
     grid = dict(start_time=job.start_time, end_time=job.end_time, step_seconds=job.step_seconds)
     frame, at_step, at_day = feature_frame(features.where(inside), job.step_features, job.day_features, job.one_hot, **grid)
     n_steps = steps_per_day(job.start_time, job.end_time, job.step_seconds)
@@ -90,14 +91,13 @@ def prepare(obs: DataFrame, features: DataFrame, job: Job, series: Sequence[str]
     x = materialize(day_vectors(x_long), "x")
 
     dense = densify(obs, **grid).join(frame.select("ts"), "ts", "left_semi")
-    y = dense.select("series_id", "day", "step", F.col("value").alias("y"))
+    y = materialize(dense.select("series_id", "day", "step", F.col("value").alias("y")), "y")
     y_scaler = None
     if job.scaler_y:
-        y = materialize(y, "y")
-        y_scaler = materialize(fit_scaler(y.join(train_days, "day", "left_semi"), job.scaler_y,
-                                          ["series_id", "step"], "y"), "yscaler")
-        y = scale(y, y_scaler, ["series_id", "step"], "y")
-    return Prepared(x, materialize(y, "y"), split, y_scaler)
+        keys = ["series_id", "step"]
+        y_scaler = materialize(fit_scaler(y.join(train_days, "day", "left_semi"), job.scaler_y, keys, "y"), "yscaler")
+        y = scale(y, y_scaler, keys, "y")
+    return Prepared(x, y, split, y_scaler)
 
 
 def predict_rows(fitted: Fitted, data: Prepared, job: Job) -> DataFrame:

@@ -56,10 +56,10 @@ def test_average_skips_null_keys_and_refits(spark):
     xs, ys = make(spark, [[1], [1], [2]], {"s": [[1.0], [3.0], [8.0]]})
     broken = xs.withColumn("x", F.when(F.col("day") == DAY0 + timedelta(days=1), F.array(F.lit(None).cast("double"))).otherwise(F.col("x")))
     old = models.fit("ha", broken, ys)
-    assert {r.x[0]: r.pred for r in old.tables["model"].collect()} == {1.0: 1.0, 2.0: 8.0}
+    assert {r.x[0]: r.pred for r in ha.as_table(old).collect()} == {1.0: 1.0, 2.0: 8.0}
     xs2, ys2 = make(spark, [[1], [3]], {"s": [[10.0], [4.0]]})
     merged = ha.refit(old, models.fit("ha", xs2, ys2))
-    assert {r.x[0]: r.pred for r in merged.tables["model"].collect()} == {1.0: 10.0, 2.0: 8.0, 3.0: 4.0}
+    assert {r.x[0]: r.pred for r in ha.as_table(merged).collect()} == {1.0: 10.0, 2.0: 8.0, 3.0: 4.0}
 
 
 def test_average_falls_back_to_nearest(spark):
@@ -87,6 +87,30 @@ def test_least_squares_with_dependent_features(spark):
     assert np.allclose(tensor(models.predict(models.fit("lr", xs, ys), xs, floor=False), 30, 1)["s"], y["s"], atol=1e-6)
 
 
+@pytest.mark.parametrize("choice, params", [("lr", {}), ("lr", {"fit_intercept": False}), ("en", {"alpha": 0.05, "tol": 1e-8}),
+                                            ("en", {"alpha": 0.01, "tol": 1e-8, "normalize": True})])
+def test_linear_paths_agree(data, monkeypatch, choice, params):
+    _, _, xs, yt = data
+    coefs = []
+    for limit, in_gram in ((10 ** 9, 10 ** 9), (0, 10 ** 9), (10 ** 9, 0)):
+        monkeypatch.setattr(linear, "MAX_CELLS", limit)
+        monkeypatch.setattr(linear, "MAX_GRAM", in_gram)
+        rows = models.fit(choice, xs, yt, params).tables["model"].orderBy("series_id", "step").collect()
+        coefs.append(np.array([r.coef for r in rows]))
+    assert np.allclose(coefs[0], coefs[1], atol=1e-7) and np.allclose(coefs[0], coefs[2], atol=1e-7)
+
+
+def test_series_with_fewer_days_gets_its_own_solution(data):
+    x, ys, xs, yt = data
+    part = yt.where((F.col("series_id") != "a") | (F.dayofmonth("day") % 2 == 0))
+    got = {(r.series_id, r.step): r.coef for r in models.fit("lr", xs, part).tables["model"].collect()}
+    keep = np.array([(DAY0 + timedelta(days=i)).day % 2 == 0 for i in range(60)])
+    for s in ("a", "b"):
+        rows = keep if s == "a" else np.ones(60, bool)
+        a = np.column_stack([np.ones(rows.sum()), x[rows]])
+        assert np.allclose(got[s, 1], np.linalg.lstsq(a, ys[s][rows, 1], rcond=None)[0], atol=1e-8)
+
+
 def test_elastic_net_optimality(data):
     x, ys, xs, yt = data
     grid = [{"alpha": a, "l1_ratio": r, "tol": 1e-8} for a in (0.01, 0.2) for r in (0.25, 1.0)]

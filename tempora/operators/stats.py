@@ -7,36 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str, target: str = "median", n_buckets: int = 1024) -> DataFrame:
+def _magnitude(v: Column) -> Column:
+    """A non-decreasing function of ``v`` whose steps of 1 are about one percent of the value."""
+    log = F.log2(F.abs(v)) + 1100
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * F.least(log, F.lit(2200.0)) * 64)
+
+
+def group_median(df: DataFrame, keys: Sequence[str], value: str, target: str = "median", n_parts: int = 1024) -> DataFrame:
     """Exact interpolated median per group, without holding a group in one task.
 
-    Equal values are counted first (spread over all tasks by group and value). The values of a group are cut into
-    ordered buckets between its smallest and largest value; bucket counts tell which bucket holds the middle ranks,
-    and only that bucket is sorted.
+    Equal values are counted first. Every value falls in an ordered bucket (about one percent wide) and an ordered part
+    of it; both follow from the value alone. Bucket counts tell in which bucket the middle ranks lie, part counts in
+    which part, and only the values of that part are sorted. Everything that grows with the rows is shuffled by
+    (group, bucket, part), so a group holding most rows is spread like any other; the tables keyed by group alone have
+    one row per bucket.
     """
     keys = list(keys)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    squeeze = lambda v: F.signum(v) * F.log1p(F.abs(v))
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    width = squeeze(F.col("_hi")) - squeeze(F.col("_lo"))
-    place = F.when(width > 0, F.least(F.floor((squeeze(F.col("_v")) - squeeze(F.col("_lo"))) / width * n_buckets),
-                                      F.lit(n_buckets - 1))).otherwise(F.lit(0))
-    placed = counts.join(span, keys).withColumn("_b", place)
-
-    buckets = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_cb"), F.max("_n").alias("_nb"))
-    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    low_rank, high_rank = F.floor((F.col("_nb") + 1) / 2), F.floor(F.col("_nb") / 2) + 1
-    middle = (buckets.withColumn("_end", F.sum("_cb").over(upto)).withColumn("_start", F.col("_end") - F.col("_cb"))
-              .where((F.col("_end") >= low_rank) & (F.col("_start") < high_rank)).select(*keys, "_b", "_start"))
-
-    inner = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (placed.join(middle, [*keys, "_b"])
-              .withColumn("_end", F.col("_start") + F.sum("_c").over(inner))
-              .withColumn("_begin", F.col("_end") - F.col("_c")))
+    v = F.col(value).cast("double")
+    place = F.floor(_magnitude(F.col("_v")) * n_parts)
+    counts = (df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_p", place).withColumn("_b", F.floor(F.col("_p") / n_parts)))
+    parts = counts.groupBy(*keys, "_b", "_p").agg(F.sum("_c").alias("_c"))
+    buckets = parts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
+
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    hit = lambda rank: F.max(F.when((F.col("_end") >= rank) & (F.col("_begin") < rank), F.col("_v")))
-    return ranked.groupBy(*keys).agg(((hit(low) + hit(high)) / 2).alias(target))
+
+    def ranks(counted: DataFrame, within: Sequence[str], order: str, start: Column) -> DataFrame:
+        """Add the ranks (_begin, _end] covered by each row and keep the rows that cover a middle rank."""
+        running = F.sum("_c").over(W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+        covered = counted.withColumn("_end", start + running).withColumn("_begin", F.col("_end") - F.col("_c"))
+        return covered.where((F.col("_end") >= low) & (F.col("_begin") < high))
+
+    total = buckets.withColumn("_n", F.sum("_c").over(W.partitionBy(*keys)))
+    bucket = ranks(total, keys, "_b", F.lit(0)).select(*keys, "_b", "_n", F.col("_begin").alias("_start"))
+    part = ranks(parts.join(bucket, [*keys, "_b"]), [*keys, "_b"], "_p", F.col("_start")).select(
+        *keys, "_p", "_n", F.col("_begin").alias("_start"))
+    middle = ranks(counts.drop("_b").join(part, [*keys, "_p"]), [*keys, "_p"], "_v", F.col("_start"))
+    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(target))
 
 
 def complete_groups(df: DataFrame, key: str, size: int) -> DataFrame:

@@ -7,6 +7,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import materialize
 from . import models
 from .evaluate import r2_scores
 from .windows import kfold, training_folds
@@ -25,26 +26,29 @@ def grid_search(choice: str, x: DataFrame, y: DataFrame, grid: dict | Sequence[d
     """(series_id, param_idx, fold, split, score) for every series, parameter set and held-out fold.
 
     Folds are assigned to days. The targets are repeated once per fold that trains on them, and (series, fold)
-    names one model, so all fits of the search run as one job instead of a loop.
+    names one model, so all fits of the search run as one job instead of a loop. The models are stored, then all days
+    are predicted and scored in one pass: a day is test in its own fold and train in the others.
     """
     combos = param_combinations(grid)
-    folds = kfold(x, n_splits, shuffle, seed)
+    folds = materialize(kfold(x, n_splits, shuffle, seed), "folds")
     trains = training_folds(folds, n_splits)
+    units = ["series_id", "fold"]
     x_train = x.join(trains, "day").select("fold", "day", "x")
     y_train = y.join(trains, "day").select("series_id", "fold", "day", "step", "y")
-    x_held = x.join(folds, "day").select("fold", "day", "x")
-    y_held = y.join(folds, "day").select("series_id", "fold", "day", "step", "y")
-    units = ["series_id", "fold"]
     fitted = models.fit(choice, x_train, y_train, combos, units, ["fold"])
+    for name in ("model", "level"):
+        if name in fitted.tables:
+            fitted.tables[name] = materialize(fitted.tables[name], name)
     if choice in ("rf", "gbr"):
         fitted.extra["n_steps"] = (y.agg(F.max("step")).first()[0] or 0) + 1
-    keys = ["series_id", "param_idx", "fold"]
-    held = r2_scores(y_held, models.predict(fitted, x_held, floor=False), keys, units, weights)
-    out = held.withColumn("split", F.lit("test"))
-    if train_score:
-        train = r2_scores(y_train, models.predict(fitted, x_train, floor=False), keys, units, weights)
-        out = out.unionByName(train.withColumn("split", F.lit("train")))
-    return out
+
+    own = folds.withColumnRenamed("fold", "own_fold")
+    asked = x.join(own, "day")
+    every_fold = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
+    asked = asked.withColumn("fold", every_fold if train_score else F.col("own_fold")).select("fold", "day", "x")
+    pred = models.predict(fitted, asked, floor=False).join(own, "day")
+    pred = pred.withColumn("split", F.when(F.col("fold") == F.col("own_fold"), "test").otherwise("train"))
+    return r2_scores(y, pred.drop("own_fold"), ["series_id", "param_idx", "fold", "split"], ["series_id"], weights)
 
 
 def best_params(cv_results: DataFrame) -> DataFrame:

@@ -89,11 +89,12 @@ def test_lag_lead_rejects_unknown_window(spark):
 def test_median_of_hot_and_small_groups(spark):
     rng = np.random.default_rng(5)
     data = {"hot": np.concatenate([rng.normal(1e6, 1, 3001), [0.0, 1e12]]), "even": rng.integers(-5, 5, 40).astype(float),
-            "one": np.array([3.25]), "same": np.full(7, 2.0), "neg": -rng.exponential(100, 501), "two": np.array([1.0, 4.0])}
+            "one": np.array([3.25]), "same": np.full(7, 2.0), "neg": -rng.exponential(100, 501), "two": np.array([1.0, 4.0]), "small": rng.normal(0, 1e-9, 200),
+            "signs": np.concatenate([-rng.exponential(1, 50), [0.0, 0.0], rng.exponential(1e9, 48)]), "zero": np.zeros(4)}
     rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("one", None), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    for buckets in (2, 1024):
-        got = {r.k: r.median for r in group_median(df, ["k"], "v", n_buckets=buckets).collect()}
+    for parts in (2, 1024):
+        got = {r.k: r.median for r in group_median(df, ["k"], "v", n_parts=parts).collect()}
         assert got == {k: float(np.median(v)) for k, v in data.items()}
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempora.functions.metrics import all_errors
+from tempora.functions.vectors import cosine_similarity
 from tempora.operators import models
 from tempora.operators.joins import nearest_vectors
 from tempora.operators.models import ha
+from tempora.operators.stats import group_median
 from tempora.operators.tune import best_params, grid_search
 from tempora.session import materialize
 
@@ -65,7 +67,6 @@ def ha_median_query(spark, sf_dir):
 @query("q25_ha_median_large_groups", """SELECT l_returnflag, round(median(l_extendedprice), 6) AS median_price FROM lineitem GROUP BY 1""")
 def ha_median_large_query(spark, sf_dir):
     """The same exact median where a few groups hold all rows."""
-    from tempora.operators.stats import group_median
     out = group_median(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", "median_price")
     return out.withColumn("median_price", F.round("median_price", 6))
 
@@ -116,6 +117,15 @@ def nearest_vectors_query(spark, sf_dir):
             .select("query_id", "key_id", F.round("similarity", 6).alias("similarity")))
 
 
+@query("q27_cosine_pairs", f"""WITH v AS (SELECT vec_id, {_V} AS e FROM embeddings)
+SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def cosine_pairs_query(spark, sf_dir):
+    """Similarity of each vector to the next one."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    following = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f"))
+    return v.join(following, "vec_id").select("vec_id", F.round(cosine_similarity(F.col("e"), F.col("f")), 6).alias("similarity"))
+
+
 _CV = _TUPLES + """, f AS (SELECT day, (ntile(5) OVER (ORDER BY day) - 1)::INT AS fold FROM (SELECT DISTINCT day FROM t WHERE year(day) < 2000)),
 tf AS (SELECT t.*, f.fold FROM t JOIN f USING (day)), k AS (SELECT unnest(range(5))::INT AS fold),
 m AS (SELECT k.fold, series_id, wd, mon, avg(value) AS p0, median(value) AS p1 FROM tf JOIN k ON tf.fold <> k.fold GROUP BY 1, 2, 3, 4),

@@ -9,7 +9,7 @@ from tempora.functions.dates import day_start, lookup
 from tempora.operators.joins import grouped_ids, unmatched
 from tempora.operators.select import last_wins, map_codes, series_subset
 from tempora.plans.observations import (HOUR_SLOTS, clean_profiles, clean_totals, disaggregate, missing_share,
-                                        observation_table, profile_table)
+                                        observation_table, profile_table, slot_time)
 from tempora.session import materialize
 
 from .base import CALENDAR, holidays_for, order_days, periods_for, query, table
@@ -67,6 +67,13 @@ def profile_pivot_query(spark, sf_dir):
     return wide.select("series_id", "category", *[F.round(F.col(f"`{s}`"), 6).alias(s) for s in HOUR_SLOTS])
 
 
+@query("q39_slot_times", f"""WITH {_PROFILE} SELECT series_id, category, lpad(h::VARCHAR, 2, '0') || ':00:00' AS time, round(pct, 6) AS percent FROM pk""")
+def slot_times_query(spark, sf_dir):
+    """The cleaned profile in long form with clock times for the slot labels."""
+    clean = clean_profiles(_raw_profiles(spark, sf_dir))
+    return clean.select("series_id", "category", slot_time("slot").alias("time"), F.round("percent", 6).alias("percent"))
+
+
 def _spread_sql(tail: str) -> str:
     """Both calendars (event days and order days) are one calendar over all days here."""
     body = _PROFILE.replace("days AS (SELECT DISTINCT day FROM ed)",

@@ -8,11 +8,11 @@ from tempora.functions.dates import format_padded, parse_timestamp
 from tempora.operators import models
 from tempora.operators.models import ha
 from tempora.operators.grid import day_grid
-from tempora.operators.reshape import day_time_pivot, long_to_wide
+from tempora.operators.reshape import day_time_pivot, long_to_wide, rows_from_steps
 from tempora.plans.forecast import Job, fit_predict, optimise_fit_predict
 from tempora.session import fresh_path, materialize
-from tempora.sources.tables import (read_delimited, read_days, read_joined, read_manifest, read_periods,
-                                    write_predictions, write_report, write_table)
+from tempora.sources.tables import (read_days, read_delimited, read_joined, read_manifest, read_observations, read_periods,
+                                    write_predictions, write_report, write_table, write_wide)
 
 from .averages import _CV, _TUPLES
 from .base import (CALENDAR, DAILY, HOURLY_DENSE, ORDER_DAYS, daily_dense, day_vectors_of, event_counts, hourly_dense,
@@ -40,6 +40,13 @@ def joined_files_query(spark, sf_dir):
     return read_joined(spark, [first, second], ["ts STRING, n BIGINT", "ts STRING, n_urgent BIGINT"])
 
 
+@query("q52_wide_files", f"WITH {HOURLY_DENSE} SELECT series_id, ts, value FROM hdense WHERE series_id IN ('view', 'click')")
+def wide_files_query(spark, sf_dir):
+    """The wide CSV layout (label column, one column per series), written, read back and melted."""
+    path = write_wide(hourly_dense(spark, sf_dir), fresh_path(spark, "wide"), ["click", "error", "view"])
+    return read_observations(spark, [path], ["view", "click"])
+
+
 @query("q52_day_lists", f"""WITH {ORDER_DAYS}, {CALENDAR} SELECT 'holiday' AS kind, day AS start_day, day AS end_day FROM holidays
 UNION ALL SELECT 'period', start_day, end_day FROM periods""")
 def day_lists_query(spark, sf_dir):
@@ -101,6 +108,14 @@ def fit_predict_query(spark, sf_dir):
     return fit_predict(counts, _hour_features(counts), job, {"method": "mean"}, store=fresh_path(spark, "job"))[0]
 
 
+@query("q53_lr_job", f"WITH {HOURLY_DENSE} " + _WEEKDAY_MEANS.replace("'ha'", "'lr'"))
+def lr_job_query(spark, sf_dir):
+    """Least squares on the weekday indicators, scaled features and targets: every step predicts its weekday mean."""
+    counts = event_counts(spark, sf_dir)
+    job = Job(**{**_HOURLY_JOB, "estimator": "lr"}, scaler_x="standard", scaler_y="standard")
+    return fit_predict(counts, _hour_features(counts), job, store=fresh_path(spark, "job"))[0]
+
+
 @query("q53_single_series_job", f"WITH {HOURLY_DENSE} {_WEEKDAY_MEANS} WHERE d.series_id = 'click'")
 def single_series_query(spark, sf_dir):
     counts = event_counts(spark, sf_dir)
@@ -122,7 +137,6 @@ def standalone_average_query(spark, sf_dir):
     x = materialize(pivot.select("day", F.array(*[F.col(f"`open|{t}`") for t in _HOURS], F.col("flag").cast("double")).alias("x")), "x")
     y = dense.select("series_id", "day", "step", F.col("value").alias("y"))
     early = F.col("day") <= "2024-01-21"
-    from tempora.operators.reshape import rows_from_steps
     pred = models.predict(models.fit("ha", x.where(early), y.where(early)), x)
     return rows_from_steps(pred.drop("param_idx"), 3600)
 
@@ -141,3 +155,14 @@ def optimise_query(spark, sf_dir):
                                                 month().alias("mon"))
     job = Job("ha", ("1995", "1999-12-31 00:00:00"), ["wd", "mon"], end_time="00:00:00", step_seconds=86400, name="tuned")
     return optimise_fit_predict(counts, features, job, {"method": ["mean", "median"]}, store=fresh_path(spark, "job")).predictions
+
+
+@query("q54_optimise_en_job")
+def optimise_en_query(spark, sf_dir):
+    """Grid search over an elastic net with shuffled folds, per series, on calendar indicators."""
+    counts = order_counts(spark, sf_dir)
+    features = order_days(spark, sf_dir).select(F.col("day").cast("timestamp_ntz").alias("ts"), F.date_format("day", "EEEE").alias("wd"),
+                                                F.date_format("day", "MMMM").alias("mon"))
+    job = Job("en", ("1995", "1999-12-31 00:00:00"), ["wd", "mon"], one_hot=["wd", "mon"], end_time="00:00:00", step_seconds=86400)
+    grid = {"alpha": [0.001, 0.01, 0.1], "l1_ratio": [0.25, 1.0]}
+    return optimise_fit_predict(counts, features, job, grid, shuffle=True, seed=1).predictions

@@ -47,7 +47,7 @@ def one_hot(df: DataFrame, columns: Sequence[str], drop_last: bool = True, keep_
     for column in columns:
         values_of = known[column]
         kept = values_of[:-1] if drop_last else values_of
-        flags = {name(column, v): F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)) for v in kept}
+        flags = {name(column, v): F.when(F.col(column) == F.lit(v), 1).otherwise(0) for v in kept}
         clash = set(flags) & set(out.columns)
         if clash:
             raise ValueError(f"one-hot names already in use: {sorted(clash)}")

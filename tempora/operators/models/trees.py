@@ -60,7 +60,7 @@ def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[s
             part = part.where(F.col(name) == value)
         for i, params in enumerate(grid):
             model = learner(featuresCol="features", labelCol="y", predictionCol="pred",
-                            **{"maxBins": 64, "cacheNodeIds": True, **ml_params(choice, params)})
+                            **{"maxBins": 64, "cacheNodeIds": True, "featureSubsetStrategy": "all", **ml_params(choice, params)})
             models["_".join(map(str, (*key, i)))] = model.fit(part)
     tables = {"level": level}
     if chosen is not None:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import day_start, seconds, time_of_day
+from ..session import materialize
 from .encode import categories, one_hot
 from .grid import clock_seconds, day_grid, densify, fill_forward_backward
 from .stats import pivot_mean
@@ -27,21 +28,25 @@ def long_to_wide(df: DataFrame, series: Sequence[str], index: str = "ts", value:
 
 def feature_frame(features: DataFrame, step_features: Sequence[str], day_features: Sequence[str],
                   one_hot_features: Sequence[str] = (), start_time: str = "00:00:00", end_time: str = "23:45:00",
-                  step_seconds: int = 900) -> tuple[DataFrame, list[str], list[str]]:
+                  step_seconds: int = 900, keep_days: DataFrame | None = None) -> tuple[DataFrame, list[str], list[str]]:
     """Complete, encoded features per grid step: (day, step, ts, features...).
 
     Step features must be given for every step. Day features may be given at midnight only: they are filled forward,
-    then backward, over the grid of the feature days. Rows with a missing feature are dropped. Also returns the names
-    of the step and of the day features after encoding.
+    then backward, over the grid of the feature days. Rows with a missing feature are dropped; ``keep_days`` then
+    restricts the days. The filled table is stored, so that the many indicator columns are a plain projection of a
+    file. Also returns the names of the step and of the day features after encoding.
     """
     days = features.select(F.to_date("ts").alias("day")).distinct()
     grid = day_grid(days, start_time, end_time, step_seconds)
     frame = grid.join(features.select("ts", *day_features), "ts", "left")
     if day_features:
         frame = fill_forward_backward(frame, day_features)
-    frame = frame.join(features.select("ts", *step_features), "ts")
+    frame = frame.join(features.select("ts", *step_features), "ts").na.drop("any")
+    if keep_days is not None:
+        frame = frame.join(keep_days, "day", "left_semi")
+    frame = materialize(frame, "features")
     known = categories(features, one_hot_features)
-    frame = one_hot(frame, one_hot_features, drop_last=True, values=known).na.drop("any")
+    frame = one_hot(frame, one_hot_features, drop_last=True, values=known)
 
     def names(group: Sequence[str]) -> list[str]:
         plain = [f for f in group if f not in known]

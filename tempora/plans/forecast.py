@@ -74,10 +74,10 @@ def prepare(obs: DataFrame, features: DataFrame, job: Job, series: Sequence[str]
         obs = obs.where(F.col("series_id").isin(list(series)))
     obs = obs.select("series_id", "ts", "value")
     grid = dict(start_time=job.start_time, end_time=job.end_time, step_seconds=job.step_seconds)
-    frame, at_step, at_day = feature_frame(features.where(inside), job.step_features, job.day_features, job.one_hot, **grid)
-    n_steps = steps_per_day(job.start_time, job.end_time, job.step_seconds)
     obs_days = obs.select(F.to_date("ts").alias("day")).distinct()
-    frame = materialize(frame.join(obs_days, "day", "left_semi"), "features")
+    frame, at_step, at_day = feature_frame(features.where(inside), job.step_features, job.day_features, job.one_hot,
+                                           keep_days=obs_days, **grid)
+    n_steps = steps_per_day(job.start_time, job.end_time, job.step_seconds)
 
     x_long = day_matrix_long(frame, at_step, at_day, n_steps)
     split = materialize(prefix_split(frame.select("day"), *job.train, positional=job.positional_split), "split")

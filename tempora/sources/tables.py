@@ -7,7 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.dates import format_padded, parse_timestamp
 from ..operators.joins import left_join_all
+from ..operators.reshape import long_to_wide, wide_to_long
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
@@ -21,6 +23,36 @@ def read_joined(spark: SparkSession, paths: Sequence[str], schemas: Sequence[str
     return left_join_all([read_delimited(spark, p, s, sep) for p, s in zip(paths, schemas)], key)
 
 
+def wide_columns(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Column names from the header line; no data is read."""
+    return spark.read.csv(path, header=True, sep=sep).columns
+
+
+def read_wide(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None, index: str = "Datetime",
+              text: Sequence[str] = (), sep: str = ",") -> DataFrame:
+    """Wide files with one row per ``index`` label, joined: (ts, columns...).
+
+    Columns are numbers unless listed in ``text``; ``columns`` selects and orders them.
+    """
+    schemas = [", ".join(f"`{c}` {'STRING' if c == index or c in text else 'DOUBLE'}" for c in wide_columns(spark, p, sep))
+               for p in paths]
+    joined = read_joined(spark, paths, schemas, index, sep)
+    columns = [c for c in joined.columns if c != index] if columns is None else list(columns)
+    return joined.select(parse_timestamp(index).alias("ts"), *[F.col(f"`{c}`") for c in columns])
+
+
+def read_observations(spark: SparkSession, paths: Sequence[str], series: Sequence[str] | None = None,
+                      index: str = "Datetime", sep: str = ",") -> DataFrame:
+    """Wide observation or prediction files as (series_id, ts, value)."""
+    return wide_to_long(read_wide(spark, paths, series, index, sep=sep), "ts", series)
+
+
+def write_wide(df: DataFrame, path: str, series: Sequence[str], force: bool = False, index: str = "Datetime") -> str:
+    """(series_id, ts, value) as CSV with one column per series and padded time labels."""
+    wide = long_to_wide(df, series)
+    return write_table(wide.select(format_padded("ts").alias(index), *[F.col(f"`{s}`") for s in series]), path, force, "csv")
+
+
 def read_days(spark: SparkSession, path: str) -> DataFrame:
     """One ISO date per line, no header."""
     return spark.read.csv(path, schema="day DATE", header=False)

@@ -31,19 +31,19 @@ def left_join_query(spark, sf_dir):
     return left_join_all([calendar, totals, urgent], "ts")
 
 
-@query("q04_clean_repair", """WITH g AS (SELECT o_orderdate, o_custkey % 50 AS b, count(*) * (1 + o_custkey % 50 % 7) AS n
-  FROM orders GROUP BY 1, 2, o_custkey % 50 % 7)
-SELECT o_orderdate::DATE AS day, (71000 + b)::VARCHAR AS series_id, CASE WHEN n < 5 THEN 1 ELSE n END::INT AS total
-FROM g WHERE b NOT IN (7, 13)""")
+@query("q04_clean_repair", """WITH g AS (SELECT o_orderdate, o_orderpriority AS p, o_orderstatus AS s, 3 * count(*) AS n FROM orders GROUP BY 1, 2, 3)
+SELECT o_orderdate::DATE AS day, '71' || p[1] || (ascii(s) - 65)::VARCHAR AS series_id, CASE WHEN n < 5 THEN 1 ELSE n END::INT AS total
+FROM g WHERE NOT (p = '3-MEDIUM' AND s = 'P') AND NOT (p = '4-NOT SPECIFIED' AND s = 'O')""")
 def clean_repair_query(spark, sf_dir):
     """Text columns with sentinels, gaps and censored counts, cleaned to typed daily totals."""
-    bucket = (F.col("o_custkey") % 50).alias("b")
-    groups = table(spark, sf_dir, "orders").groupBy("o_orderdate", bucket).agg(F.count(F.lit(1)).alias("c"))
-    n = F.col("c") * (1 + F.col("b") % 7)
+    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    groups = table(spark, sf_dir, "orders").groupBy("o_orderdate", p, s).agg((F.count(F.lit(1)) * 3).alias("n"))
+    ident = F.concat(F.lit("71"), F.substring(p, 1, 1), (F.ascii(s) - 65).cast("string"), F.lit(".0"))
+    absent = (p == "4-NOT SPECIFIED") & (s == "O")
     dirty = groups.select(
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("JOUR"),
-        F.when(F.col("b") == 7, "?").when(F.col("b") != 13, F.concat((71000 + F.col("b")).cast("string"), F.lit(".0"))).alias("ID"),
-        F.when(n < 5, "Moins de 5").otherwise(n.cast("string")).alias("NB"))
+        F.when((p == "3-MEDIUM") & (s == "P"), "?").when(~absent, ident).alias("ID"),
+        F.when(F.col("n") < 5, "Moins de 5").otherwise(F.col("n").cast("string")).alias("NB"))
     clean = drop_sentinel(drop_incomplete(dirty), "ID", "?")
     return clean.select(parse_day_month_year("JOUR").alias("day"), normalise_id("ID").alias("series_id"),
                         repair_count("NB").alias("total"))
@@ -134,12 +134,14 @@ def day_time_pivot_query(spark, sf_dir):
     return day_time_pivot(wide, ["click", "view"], ["day_id", "first_day"], _HOURS)
 
 
-@query("q18_key_lookup", f"""WITH {HOURLY}, quiet AS (SELECT ts::DATE AS day FROM hourly GROUP BY 1 ORDER BY sum(value), day LIMIT 5)
+@query("q18_key_lookup", f"""WITH {HOURLY}, totals AS (SELECT ts::DATE AS day, sum(value) AS n FROM hourly GROUP BY 1),
+quiet AS (SELECT day FROM totals WHERE n < (SELECT avg(n) FROM totals))
 SELECT series_id, ts, value FROM hourly WHERE ts::DATE IN (SELECT day FROM quiet)""")
 def key_lookup_query(spark, sf_dir):
-    """All observations of the five quietest days, looked up by key with a check that every key exists."""
+    """All observations of the days below the average day, looked up by key with a check that every key exists."""
     counts = event_counts(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    quiet = counts.groupBy("day").agg(F.sum("value").alias("n")).orderBy("n", "day").limit(5).select("day")
+    totals = counts.groupBy("day").agg(F.sum("value").alias("n"))
+    quiet = totals.where(F.col("n") < totals.agg(F.avg("n")).scalar()).select("day")
     return strict_key_lookup(counts, quiet, ["day"]).select("series_id", "ts", "value")
 
 

@@ -80,21 +80,28 @@ def parse_timestamp(text, with_time: bool = True) -> Column:
 
 def format_timestamp(ts, with_time: bool = True) -> Column:
     """Text without zero padding, e.g. ``2017-1-5 0:0:0``."""
-    return F.date_format(_col(ts), "yyyy-M-d H:m:s" if with_time else "yyyy-M-d")
+    ts = _col(ts)
+    text = lambda *parts: [p.cast("string") for p in parts]
+    day = F.concat_ws("-", *text(F.year(ts), F.month(ts), F.dayofmonth(ts)))
+    if not with_time:
+        return day
+    return F.concat_ws(" ", day, F.concat_ws(":", *text(F.hour(ts), F.minute(ts), F.second(ts))))
 
 
 def format_padded(ts) -> Column:
-    return F.date_format(_col(ts), "yyyy-MM-dd HH:mm:ss")
+    """``yyyy-MM-dd HH:mm:ss``; a plain cast, as formatting would pass through the session zone."""
+    return F.substring(_col(ts).cast("string"), 1, 19)
 
 
 def time_of_day(ts) -> Column:
-    return F.date_format(_col(ts), "HH:mm:ss")
+    return F.substring(_col(ts).cast("string"), 12, 8)
 
 
 def bucket_id(ts, minutes: int) -> Column:
     """``yyyy-MM-dd-HH-k`` with k the bucket inside the hour; ``yyyy-MM-dd-HH`` for 60 minutes."""
     ts = _col(ts)
-    hour = F.date_format(ts, "yyyy-MM-dd-HH")
+    label = ts.cast("string")
+    hour = F.concat_ws("-", F.substring(label, 1, 10), F.substring(label, 12, 2))
     if minutes == 60:
         return hour
     return F.concat_ws("-", hour, F.floor(F.minute(ts) / minutes).cast("string"))

@@ -54,6 +54,20 @@ def test_epoch_is_independent_of_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
+def test_text_forms_are_independent_of_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        r = stamps(spark, "2017-03-12 02:07:00.5").select(  # this hour does not exist in New York
+            D.format_padded("ts").alias("a"), D.time_of_day("ts").alias("b"), D.bucket_id("ts", 15).alias("c"),
+            D.format_timestamp("ts").alias("d"), D.bucket_id("ts", 60).alias("e"),
+            D.parse_timestamp(F.lit("2017-03-12 02:07:00")).alias("f")).first()
+        assert (r.a, r.b, r.c, r.d, r.e) == ("2017-03-12 02:07:00", "02:07:00", "2017-03-12-02-0", "2017-3-12 2:7:0", "2017-03-12-02")
+        assert r.f == ts("2017-03-12 02:07:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_local_to_utc_flags_gap_and_overlap(spark):
     df = stamps(spark, "2017-03-26 02:30:00", "2017-10-29 02:30:00", "2017-07-01 12:00:00", "2017-10-29 03:00:00",
                 "2017-10-29 01:59:00", "2017-03-26 03:00:00")

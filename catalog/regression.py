@@ -97,16 +97,21 @@ def en_multi_query(spark, sf_dir):
     return _gradients(fitted, x, y).select("series_id", "idx", F.abs(F.round(violation, 5)).alias("violation"))
 
 
+_BEATS = f"""WITH {_X}, m AS (SELECT *, avg(y) OVER (PARTITION BY series_id) AS mean FROM t)
+SELECT series_id, count(*) AS n, round(avg(abs(y - mean)), 6) AS mean_mae, 1 AS beats_mean FROM m GROUP BY 1"""
+
+
 def _against_mean(pred, y):
-    """Mean absolute error of the model and of the constant mean, per series."""
+    """Per series: number of predicted cells, error of the constant mean, and whether the model's error is smaller."""
     mean = y.groupBy("series_id").agg(F.avg("y").alias("mean"))
     pairs = pred.join(y, ["series_id", "day", "step"]).join(mean, "series_id")
     out = pairs.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("model_mae"),
                                          F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mean_mae"))
-    return out.withColumn("beats_mean", (F.col("model_mae") < F.col("mean_mae")).cast("int"))
+    beats = (F.col("model_mae") < F.col("mean_mae")).cast("int").alias("beats_mean")
+    return out.select("series_id", "n", F.round("mean_mae", 6).alias("mean_mae"), beats)
 
 
-@query("q48_gp")
+@query("q48_gp", _BEATS)
 def gp_query(spark, sf_dir):
     y, days = _targets(spark, sf_dir)
     x = day_vectors_of(days, weekday(), month())
@@ -124,7 +129,7 @@ def gp_interpolation_query(spark, sf_dir):
     return pairs.select("series_id", "wd", "mon", F.abs(F.round(F.col("p") - F.col("m"), 4)).alias("gap"))
 
 
-@query("q49_rf")
+@query("q49_rf", _BEATS)
 def rf_query(spark, sf_dir):
     y, days = _targets(spark, sf_dir)
     x = day_vectors_of(days, weekday(), month(), _trend())
@@ -140,7 +145,7 @@ def rf_importances_query(spark, sf_dir):
     return feature_importances(fitted, ["weekday", "month", "trend"])
 
 
-@query("q50_gbr")
+@query("q50_gbr", _BEATS)
 def gbr_query(spark, sf_dir):
     y, days = _targets(spark, sf_dir)
     x = day_vectors_of(days, weekday(), month(), _trend())
@@ -148,7 +153,7 @@ def gbr_query(spark, sf_dir):
     return _against_mean(models.predict(fitted, x), y)
 
 
-@query("q51_svr")
+@query("q51_svr", _BEATS)
 def svr_query(spark, sf_dir):
     y, days = _targets(spark, sf_dir)
     x = day_vectors_of(days, weekday() / 6, month() / 12, _trend())

@@ -9,7 +9,7 @@ from tempora.operators import models
 from tempora.operators.models import ha
 from tempora.operators.grid import day_grid
 from tempora.operators.reshape import day_time_pivot, long_to_wide, rows_from_steps
-from tempora.plans.forecast import Job, fit_predict, optimise_fit_predict
+from tempora.plans.prediction import Job, fit_predict, optimise_fit_predict
 from tempora.session import fresh_path, materialize
 from tempora.sources.tables import (read_days, read_delimited, read_joined, read_manifest, read_observations, read_periods,
                                     write_predictions, write_report, write_table, write_wide)

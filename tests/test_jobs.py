@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators.windows import ordinal_index
 from tempora.plans.evaluation import evaluate, stack_predictions
-from tempora.plans.forecast import Job, fit_predict, optimise_fit_predict, prepare
+from tempora.plans.prediction import Job, fit_predict, optimise_fit_predict, prepare
 from tempora.plans.observations import HOUR_SLOTS, clean_profiles, clean_totals, disaggregate, missing_share, observation_table, profile_table
 from tempora.session import fresh_path, materialize, work_dir
 from tempora.sources import tables as T

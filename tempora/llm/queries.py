@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import fingerprints, substrings
+from tempora.llm import chat, fingerprints, lattice, lines, mixing, neardup, outliers, packing, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,43 @@ def _(spark, sf_dir):
 @query("op2_count_min_substrings", substrings.SQL)
 def _(spark, sf_dir):
     return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op3_site_lines", lines.SQL)
+def _(spark, sf_dir):
+    return lines.digest(lines.clean_pages(table(spark, sf_dir, "pages")))
+
+
+@query("op4_chat_snapshots", chat.SQL)
+def _(spark, sf_dir):
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_entropy_mix")
+def _(spark, sf_dir):
+    return mixing.mix_table(table(spark, sf_dir, "documents"))
+
+
+@query("op9_mcd_outliers")
+def _(spark, sf_dir):
+    return outliers.quality_table(table(spark, sf_dir, "documents"))
+
+
+@query("op10_vector_sharding")
+def _(spark, sf_dir):
+    return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
+@query("op5_probminhash_classes")
+def _(spark, sf_dir):
+    return neardup.class_table(table(spark, sf_dir, "documents"))
+
+
+@query("op7_subword_lattice")
+def _(spark, sf_dir):
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
+@query("op8_grouping_genetic_packing")
+def _(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))

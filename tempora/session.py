@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app: str = "tempora", master: str | None = None, shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
@@ -31,10 +37,35 @@ def build_session(app: str = "tempora", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application; Python workers import it wherever they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file from here while the driver lives
+    file = os.path.join(folder, "tempora.zip")
+    with zipfile.ZipFile(file, "w") as z:
+        for at, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(file)
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one is made only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    One is made only on a local master, whose executor shares the driver's disk; on a cluster an unset folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

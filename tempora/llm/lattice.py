@@ -5,7 +5,7 @@ is the sum over all segmentations, by a forward recursion in log space over the
 documents are one more arc each: from a word's start to its end with its discounted share of the training words; the
 discount's mass goes to the spellings. A text is its words and an end. All of it is one distribution over texts.
 
-Piece scores are relative frequencies in the training words, cut by the vocabulary's own tokenizer. Counts of the
+Piece scores are relative frequencies in the distinct training words, cut by the vocabulary's own tokenizer. Counts of the
 most frequent WORDS words are sent to all tasks, with their scores; the occurrences of all other words, of which none
 is frequent, meet their counts in a join. Every word of every document is so scored with its exact count.
 """
@@ -131,18 +131,19 @@ def _count(docs: DataFrame) -> DataFrame:
 
 
 def _piece_counts(words: DataFrame, path: str) -> dict[int, int]:
-    """Occurrences of pieces in the training words, by id; as many rows as the vocabulary has pieces."""
+    """Occurrences of pieces in the distinct training words, by id; as many rows as the vocabulary has pieces.
+
+    Words count once, as spellings stand for words not seen before, which rare words resemble more than frequent ones.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, total = _processor(path), Counter()
         for batch in batches:
-            counts = batch.column("count").to_pylist()
-            for ids, n in zip(sp.encode(batch.column("word").to_pylist(), num_threads=1), counts):
-                for i in ids:
-                    total[i] += n
-            total[-1] += sum(counts)
+            for ids in sp.encode(batch.column("word").to_pylist(), num_threads=1):
+                total.update(ids)
+            total[-1] += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["piece", "n"])
 
-    rows = words.where("count > 0").select("word", "count").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    rows = words.where("count > 0").select("word").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     return {r["piece"]: r["n"] for r in rows}
 
 

@@ -50,15 +50,15 @@ def _chi2_inverse(q: float, p: int) -> float:
     return high
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(row, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of every input row.
 
-    ``row`` is the input row as a struct, so names cannot clash. NULL text counts as empty. Lines count if they have a
+    ``row`` is a struct of the input columns named by ``keep`` (all by default), so names cannot clash. NULL text counts as empty. Lines count if they have a
     word. Steps are separate selections so that no array is computed more than once.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keep = ["row", "lang", "source"]
-    a = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+    columns, keep = keep or docs.columns, ["row", "lang", "source"]
+    a = docs.select(F.struct(*columns).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
                     words(F.col("text")).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
                     (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).alias("n_symbols"))
     b = a.select(*keep, "n_symbols", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), F.size("lines").alias("n_lines"),
@@ -159,7 +159,7 @@ def estimate(vectors: DataFrame, cover: float = COVER, steps: int = STEPS) -> Da
     return now
 
 
-def assess(docs: DataFrame, limit: float = LIMIT, min_group: int = MIN_GROUP) -> DataFrame:
+def assess(docs: DataFrame, keep: list[str] | None = None, limit: float = LIMIT, min_group: int = MIN_GROUP) -> DataFrame:
     """Every input row with its statistics, ``base_failed`` and ``kept``.
 
     Documents that fail the base rules take no part in the estimates. NULL is a language and a source of its own; NULL
@@ -167,7 +167,7 @@ def assess(docs: DataFrame, limit: float = LIMIT, min_group: int = MIN_GROUP) ->
     """
     named = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), c))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = materialize(statistics(docs).withColumn("base_failed", failed), "statistics")
+    stats = materialize(statistics(docs, keep).withColumn("base_failed", failed), "statistics")
     sizes = stats.where("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = F.col("n") < min_group
     pool = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("lang"))
@@ -188,7 +188,7 @@ def assess(docs: DataFrame, limit: float = LIMIT, min_group: int = MIN_GROUP) ->
 
 
 def quality_table(docs: DataFrame) -> DataFrame:
-    return assess(docs.select("doc_id", "lang", "source", "text")).select(
+    return assess(docs, ["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -25,10 +25,9 @@ def label_slice_query(spark, sf_dir):
 
 
 @query("q03_sorted_days", """SELECT day, (row_number() OVER (ORDER BY day))::INT AS place FROM
-(SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate <= '1996-12-31')""")
+(SELECT DISTINCT o_orderdate::DATE AS day FROM orders)""")
 def sorted_days_query(spark, sf_dir):
-    days = label_slice(table(spark, sf_dir, "orders"), "1996-01-01 00:00:00", "1996-12-31 00:00:00", "o_orderdate")
-    ordered = days.agg(F.array_sort(F.collect_set(F.to_date("o_orderdate"))).alias("d"))
+    ordered = table(spark, sf_dir, "orders").agg(F.array_sort(F.collect_set(F.to_date("o_orderdate"))).alias("d"))
     return ordered.select(F.posexplode("d").alias("p", "day")).select("day", (F.col("p") + 1).alias("place"))
 
 

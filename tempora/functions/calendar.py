@@ -7,10 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .dates import lookup, weekday_id
 
 # Day categories, their ids and their English labels.
-CATEGORY1 = ["JOHV", "JOVS", "SAHV", "SAVS", "DIJFP"]
 CATEGORY1_ID = {"JOHV": 1, "JOVS": 2, "SAHV": 3, "SAVS": 4, "DIJFP": 5}
 CATEGORY1_EN = {"JOHV": "WD-OSH", "JOVS": "WD-H", "SAHV": "S-OSH", "SAVS": "S-H", "DIJFP": "SHEDO"}
-CATEGORY2 = ["LHV_2", "JMHV_2", "VHV_2", "MHV_2", "JOVS_2", "SAHV_2", "SAVS_2", "DIJFP_2"]
 CATEGORY2_ID = {"LHV_2": 1, "JMHV_2": 2, "VHV_2": 3, "MHV_2": 4, "JOVS_2": 5, "SAHV_2": 6, "SAVS_2": 7, "DIJFP_2": 8}
 CATEGORY2_EN = {"LHV_2": "M-OSH_2", "JMHV_2": "TT-OSH_2", "VHV_2": "F-OSH_2", "MHV_2": "W-OSH_2",
                 "JOVS_2": "W-H_2", "SAHV_2": "S-OSH_2", "SAVS_2": "S-H_2", "DIJFP_2": "SPD_2"}

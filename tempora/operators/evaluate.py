@@ -19,30 +19,38 @@ def in_windows(df: DataFrame, windows: Windows) -> DataFrame:
     return df.withColumn("window", F.explode(F.array_compact(F.array(*names))))
 
 
-def common_cells(obs: DataFrame, preds: DataFrame, windows: Windows, by: Sequence[str] = ()) -> DataFrame:
-    """Observations inside the windows at the times that every model predicts.
+def _named(preds: DataFrame, models: Sequence[str] | None) -> list[str]:
+    """The models to compare: those listed, otherwise those that predict anything."""
+    return list(models) if models is not None else sorted(r[0] for r in preds.select("model").distinct().collect())
+
+
+def common_cells(obs: DataFrame, preds: DataFrame, windows: Windows, by: Sequence[str] = (),
+                 models: Sequence[str] | None = None) -> DataFrame:
+    """Observations inside the windows at the times that every model predicts; a listed model without rows has none.
 
     The time list is one row per step; the pairs (model, time) are reduced before they are shuffled.
     """
     by = list(by)
     pairs = preds.select(*by, "model", "ts").distinct()
-    n_models = preds.select("model").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_models = len(_named(preds, models))
     shared = pairs.groupBy(*by, "ts").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n_models)
     return in_windows(obs, windows).join(shared.select(*by, "ts"), [*by, "ts"], "left_semi")
 
 
 def error_sums(obs: DataFrame, preds: DataFrame, windows: Windows, at: float = 5.0,
-               by: Sequence[str] = ()) -> DataFrame:
-    """Additive error terms per (window, by, model, series).
+               by: Sequence[str] = (), models: Sequence[str] | None = None) -> DataFrame:
+    """Additive error terms per (window, by, model, series), also for a model that misses a series altogether.
 
     Every table of the report, global or per series, is a roll-up of this one small table, so observations and
     predictions are joined and shuffled once however many metrics and windows are asked for. ``n_cell`` counts the
     cells that should have been predicted.
     """
     by = list(by)
-    cells = common_cells(obs, preds, windows, by).withColumnRenamed("value", "obs")
+    models = _named(preds, models)
+    cells = common_cells(obs, preds, windows, by, models).withColumnRenamed("value", "obs")
     expected = cells.groupBy("window", *by, "series_id").agg(
         F.count(F.lit(1)).alias("n_cell"), F.count(F.when(F.col("obs") >= at, 1)).alias("n_at"))
+    expected = expected.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]).cast("array<string>")))
     diff = F.col("pred") - F.col("obs")
     large = F.col("obs") >= F.lit(float(at))
     sums = (
@@ -51,7 +59,10 @@ def error_sums(obs: DataFrame, preds: DataFrame, windows: Windows, at: float = 5
         .agg(F.count(diff).alias("n"), F.sum(diff * diff).alias("se"), F.sum(F.abs(diff)).alias("ae"),
              F.count(F.when(large, diff)).alias("n_large"), F.sum(F.when(large, F.abs(diff) / F.col("obs"))).alias("ape"))
     )
-    return sums.join(expected, ["window", *by, "series_id"])
+    keys = ["window", *by, "model", "series_id"]
+    return expected.join(sums, keys, "left").select(
+        *keys, *[F.coalesce(c, F.lit(0)).alias(c) if c in ("n", "n_large") else F.col(c)
+                 for c in ("n", "se", "ae", "n_large", "ape", "n_cell", "n_at")])
 
 
 def roll_up(sums: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -37,6 +37,11 @@ def set_key(sets: list[str]):
     return F.array(*[F.col(s).cast("int") for s in sets]).cast("array<int>")
 
 
+def on_days(y: DataFrame, x: DataFrame, sets: list[str]) -> DataFrame:
+    """The targets on days that have features; a model is fitted on no others."""
+    return y.join(x.select(*sets, "day"), [*sets, "day"], "left_semi")
+
+
 def target_vectors(y: DataFrame, units: list[str]) -> DataFrame:
     """(units, step, days, ys): the targets of one model in day order. A vector has one entry per calendar day."""
     cells = F.array_sort(F.collect_list(F.struct(F.unix_date("day").alias("d"), F.col("y"))))

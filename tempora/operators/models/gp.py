@@ -33,7 +33,7 @@ def _decompose(tuples: DataFrame, sets: list[str]) -> dict[tuple, dict]:
         x, n = np.array(part["x"].tolist(), dtype=float), part["n_days"].to_numpy(dtype=float)
         root = np.sqrt(n)
         values, vectors = np.linalg.eigh(rbf(x, x) * np.outer(root, root))
-        out[key] = {"n": n, "values": np.maximum(values, 0.0), "vectors": vectors}
+        out[key] = {"x": x, "n": n, "values": np.maximum(values, 0.0), "vectors": vectors}
     return out
 
 
@@ -43,24 +43,33 @@ def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[s
     tuples = tuple_table(tagged, sets)
     shared = x.sparkSession.sparkContext.broadcast(_decompose(tuples, sets))
     means = (y.join(tagged.select(*sets, "day", "tuple_id"), [*sets, "day"])
-             .groupBy(*units, "step", "tuple_id").agg(F.avg("y").alias("m")))
-    cells = F.array_sort(F.collect_list(F.struct("tuple_id", "m")))
-    vectors = means.groupBy(*units, "step").agg(cells.alias("c")).select(*units, "step", F.col("c.m").alias("ms"))
+             .groupBy(*units, "step", "tuple_id").agg(F.avg("y").alias("m"), F.count("y").alias("n")))
+    cells = F.array_sort(F.collect_list(F.struct("tuple_id", "m", "n")))
+    vectors = means.where("n > 0").groupBy(*units, "step").agg(cells.alias("c")).select(
+        *units, "step", F.col("c.tuple_id").alias("ids"), F.col("c.m").alias("ms"), F.col("c.n").alias("ns"))
     vectors = expand_params(vectors, grid, units, chosen)
 
     @F.pandas_udf("struct<dual array<double>, centre double>")
-    def solve(ms: pd.Series, param: pd.Series, key: pd.Series) -> pd.DataFrame:
+    def solve(ids: pd.Series, ms: pd.Series, ns: pd.Series, param: pd.Series, key: pd.Series) -> pd.DataFrame:
         duals, centres = [], []
-        for m, p, k in zip(ms, param, key):
+        for own, m, n, p, k in zip(ids, ms, ns, param, key):
             d, p = shared.value[tuple(int(v) for v in k)], grid[int(p)]
-            m, root = np.asarray(m, dtype=float), np.sqrt(d["n"])
-            centre = float((m * d["n"]).sum() / d["n"].sum()) if p.get("normalize_y", False) else 0.0
-            inner = d["vectors"].T @ (root * (m - centre)) / (d["values"] + p.get("alpha", 1e-10))
-            duals.append(root * (d["vectors"] @ inner))
+            own, m, n = np.asarray(own), np.asarray(m, dtype=float), np.asarray(n, dtype=float)
+            root, alpha = np.sqrt(n), p.get("alpha", 1e-10)
+            centre = float((m * n).sum() / n.sum()) if p.get("normalize_y", False) else 0.0
+            if np.array_equal(n, d["n"]):
+                inner = d["vectors"].T @ (root * (m - centre)) / (d["values"] + alpha)
+                dual = root * (d["vectors"] @ inner)
+            else:  # a series with missing days has its own counts, so no shared decomposition
+                x = d["x"][own]
+                k_own = rbf(x, x) * np.outer(root, root)
+                dual = np.zeros(len(d["n"]))
+                dual[own] = root * np.linalg.solve(k_own + alpha * np.eye(len(own)), root * (m - centre))
+            duals.append(dual)
             centres.append(centre)
         return pd.DataFrame({"dual": duals, "centre": centres})
 
-    table = vectors.withColumn("s", solve("ms", "param_idx", set_key(sets))).select(
+    table = vectors.withColumn("s", solve("ids", "ms", "ns", "param_idx", set_key(sets))).select(
         *units, "param_idx", "step", "s.dual", "s.centre")
     basis = tuples.select(*[F.col(s).cast("int").alias(s) for s in sets], F.col("tuple_id").alias("idx"), "x")
     return Fitted(choice, {"model": table, "basis": basis}, grid, units, sets)

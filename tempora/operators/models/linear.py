@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import MAX_CELLS, by_set, design, matrix_cells, set_key, target_vectors
+from .arrays import MAX_CELLS, by_set, design, matrix_cells, on_days, set_key, target_vectors
 from .base import Fitted, expand_params
 
 MAX_GRAM = 8_000_000  # numbers in all Gram matrices together: 64 MB
@@ -167,6 +167,7 @@ def _descend_wide(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, l1_ratio: fl
 
 def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[str], sets: list[str],
         chosen: DataFrame | None) -> Fitted:
+    y = on_days(y, x, sets)
     small = matrix_cells(x) <= MAX_CELLS
     table = (_fit_vectors if small else _fit_moments)(choice, x, y, grid, units, sets, chosen)
     return Fitted(choice, {"model": table.select(*units, "param_idx", "step", "coef")}, grid, units, sets)

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import MAX_CELLS, design, set_key, target_vectors
+from .arrays import MAX_CELLS, design, on_days, set_key, target_vectors
 from .base import Fitted, expand_params
 from .gp import predict_with_kernel
 
@@ -56,6 +56,7 @@ def solve_dual(k: np.ndarray, y: np.ndarray, c: float = 1.0, epsilon: float = 0.
 def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[str], sets: list[str],
         chosen: DataFrame | None) -> Fitted:
     spark = x.sparkSession
+    y = on_days(y, x, sets)
     data = design(x, sets)
     if max(len(d["days"]) for d in data.values()) ** 2 > MAX_CELLS:
         raise ValueError("too many training days for one kernel matrix")

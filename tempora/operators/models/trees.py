@@ -1,8 +1,9 @@
 """Random forest and gradient boosting with MLlib on long rows.
 
-One ensemble serves all series of a set: a row is (features, step, level of the series), where the level is the
-series' mean training target, so that splits separate series as well as steps and days. The number of models does
-not grow with the number of series, and MLlib spreads the split statistics over the cluster.
+One ensemble serves all series of a set: a row is (features, step, level), where the level is the mean training target
+of the series at the step, so that splits separate series, also ones of equal means and opposite days, as well as
+steps. The number of models does not grow with the number of series, and MLlib spreads the split statistics over the
+cluster. The table of levels names the steps that a series is predicted for.
 """
 
 from __future__ import annotations
@@ -20,19 +21,32 @@ _NAMES = {"max_depth": "maxDepth", "random_state": "seed", "min_samples_leaf": "
           "subsample": "subsample", "subsamplingRate": "subsamplingRate", "maxBins": "maxBins"}
 
 
+#: The deepest trees that MLlib grows; None, unlimited depth, becomes this.
+MAX_DEPTH = 30
+# Settings without a counterpart in MLlib, and the values that mean what MLlib does.
+_FIXED = {"min_samples_split": (2,), "criterion": ("mse", "squared_error", "friedman_mse"), "loss": ("ls", "squared_error"),
+          "max_leaf_nodes": (None,), "bootstrap": (True,), "n_jobs": (None, 1, -1), "verbose": (0,), "warm_start": (False,)}
+
+
 def ml_params(choice: str, params: dict) -> dict:
-    """MLlib parameters for those given; ones that MLlib has no counterpart for are left out."""
+    """MLlib parameters for those given. A value that MLlib has no counterpart for is an error, not left out."""
     out = {}
     for name, value in params.items():
         target = _NAMES.get(name)
-        if target is None or (value is None and name != "max_depth"):
+        if target is None:
+            if name in _FIXED and value in _FIXED[name]:
+                continue
+            raise ValueError(f"{choice} does not know {name}={value!r}")
+        if value is None and name != "max_depth":
             continue
         if name == "n_estimators" and choice == "gbr":
             target = "maxIter"
         if name == "subsample":
             target = "subsamplingRate"
         if name == "max_depth":
-            value = min(30, int(value)) if value is not None else 15
+            value = int(value) if value is not None else MAX_DEPTH
+            if value > MAX_DEPTH:
+                raise ValueError(f"max_depth {value} is more than {MAX_DEPTH}, the deepest tree of MLlib")
         if name == "max_features":
             value = "all" if value == "auto" else str(value)
         if name == "random_state":
@@ -42,14 +56,14 @@ def ml_params(choice: str, params: dict) -> dict:
 
 
 def _rows(x: DataFrame, y: DataFrame, level: DataFrame, units: list[str], sets: list[str]) -> DataFrame:
-    joined = y.join(x, [*sets, "day"]).join(level, units)
+    joined = y.join(x, [*sets, "day"]).join(level, [*units, "step"])
     features = F.concat(F.col("x"), F.array(F.col("step").cast("double"), F.col("level")))
     return joined.withColumn("features", array_to_vector(features))
 
 
 def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[str], sets: list[str],
         chosen: DataFrame | None) -> Fitted:
-    level = y.groupBy(*units).agg(F.avg("y").alias("level"))
+    level = y.groupBy(*units, "step").agg(F.avg("y").alias("level"))
     rows = _rows(x, y, level, units, sets)
     models = {}
     held = [tuple(r) for r in x.select(*sets).distinct().collect()] if sets else [()]
@@ -72,13 +86,11 @@ def predict(fitted: Fitted, x_new: DataFrame) -> DataFrame:
     units, sets = fitted.units, fitted.sets
     level = fitted.tables["level"]
     days = x_new.select(*sets, "day", "x")
-    steps = fitted.extra.get("n_steps", 1)
     if sets:
         base = level.join(days, sets)
     else:
         every_day = days.agg(F.collect_list(F.struct("day", "x")).alias("d")).scalar()
         base = level.withColumn("d", F.explode(every_day)).select(*level.columns, "d.day", "d.x")
-    base = base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     features = F.concat(F.col("x"), F.array(F.col("step").cast("double"), F.col("level")))
     base = base.withColumn("features", array_to_vector(features))
     out = None

@@ -32,7 +32,7 @@ def feature_frame(features: DataFrame, step_features: Sequence[str], day_feature
     """Complete, encoded features per grid step: (day, step, ts, features...).
 
     Step features must be given for every step. Day features may be given at midnight only: they are filled forward,
-    then backward, over the grid of the feature days. Rows with a missing feature are dropped; ``keep_days`` then
+    then backward, over the grid of the feature days. Rows with a missing feature are dropped, unless it is one-hot; ``keep_days`` then
     restricts the days. The filled table is stored, so that the many indicator columns are a plain projection of a
     file. Also returns the names of the step and of the day features after encoding.
     """
@@ -41,7 +41,9 @@ def feature_frame(features: DataFrame, step_features: Sequence[str], day_feature
     frame = grid.join(features.select("ts", *day_features), "ts", "left")
     if day_features:
         frame = fill_forward_backward(frame, day_features)
-    frame = frame.join(features.select("ts", *step_features), "ts").na.drop("any")
+    frame = frame.join(features.select("ts", *step_features), "ts")
+    plain = [c for c in frame.columns if c not in one_hot_features]  # a missing category has all its indicators at 0
+    frame = frame.na.drop("any", subset=plain)
     if keep_days is not None:
         frame = frame.join(keep_days, "day", "left_semi")
     frame = materialize(frame, "features")

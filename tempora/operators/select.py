@@ -66,9 +66,9 @@ def normalise_id(value) -> Column:
 
 
 def repair_count(text) -> Column:
-    """Text starting with 'M' (a censored small count) -> 1, otherwise the integer."""
+    """Text starting with 'M' (a censored small count) -> 1, otherwise the integer; any other text is an error."""
     text = _col(text)
-    return F.when(text.startswith("M"), F.lit(1)).otherwise(text.try_cast("int"))
+    return F.when(text.startswith("M"), F.lit(1)).otherwise(text.cast("int"))
 
 
 def map_codes(df: DataFrame, column: str, mapping: dict, target: str) -> DataFrame:

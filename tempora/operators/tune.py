@@ -39,8 +39,6 @@ def grid_search(choice: str, x: DataFrame, y: DataFrame, grid: dict | Sequence[d
     for name in ("model", "level"):
         if name in fitted.tables:
             fitted.tables[name] = materialize(fitted.tables[name], name)
-    if choice in ("rf", "gbr"):
-        fitted.extra["n_steps"] = (y.agg(F.max("step")).first()[0] or 0) + 1
 
     own = folds.withColumnRenamed("fold", "own_fold")
     asked = x.join(own, "day")

@@ -27,7 +27,7 @@ def evaluate(obs: DataFrame, preds: DataFrame, windows: Windows, models: Sequenc
 
     All tables are roll-ups of one stored table of error sums, whose size is windows * models * series.
     """
-    sums = materialize(error_sums(obs, preds.where(F.col("model").isin(list(models))), windows, at), "errors")
+    sums = materialize(error_sums(obs, preds.where(F.col("model").isin(list(models))), windows, at, models=models), "errors")
     out = {"global": global_errors(sums).withColumn("at", F.lit(float(at)))}
     for metric in ("mape_at", "rmse", "mae"):
         out[metric] = series_errors(sums, metric, models, series, labels)

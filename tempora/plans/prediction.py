@@ -105,8 +105,6 @@ def predict_rows(fitted: Fitted, data: Prepared, job: Job) -> DataFrame:
 
     ``floor='scaled'`` cuts at 0 before the scaling is undone, ``'original'`` after it.
     """
-    if job.estimator in ("rf", "gbr"):
-        fitted.extra["n_steps"] = steps_per_day(job.start_time, job.end_time, job.step_seconds)
     pred = models.predict(fitted, data.x, floor=job.floor == "scaled")
     pred = unscale(pred, data.y_scaler, ["series_id", "step"], "pred")
     if job.floor == "original":

@@ -181,7 +181,6 @@ def mean_error(got, want):
 def test_models_beat_the_mean(data, choice, params):
     x, ys, xs, yt = data
     fitted = models.fit(choice, xs, yt, params)
-    fitted.extra["n_steps"] = 2
     got = tensor(models.predict(fitted, xs), 60, 2)
     assert all(np.isfinite(v).all() and (v >= 0).all() for v in got.values())
     assert mean_error(got, ys) < mean_error({s: np.broadcast_to(v.mean(0), v.shape) for s, v in ys.items()}, ys)
@@ -194,8 +193,6 @@ def test_model_store(spark, data, tmp_path, choice):
     path = str(tmp_path / choice)
     models.save_model(fitted, path, infos={"model_name": "m"})
     loaded = models.load_model(spark, path)
-    for m in (fitted, loaded):
-        m.extra["n_steps"] = 2
     a, b = (tensor(models.predict(m, xs), 60, 2) for m in (fitted, loaded))
     assert all(np.allclose(a[s], b[s], equal_nan=True) for s in a)
     with pytest.raises(Exception):
@@ -269,3 +266,33 @@ def test_chosen_parameters_per_series(spark, data):
 def test_params_table(spark):
     rows = params_table(spark, {"b": [1], "a": ["x", "y"]}).orderBy("param_idx").collect()
     assert [r.params for r in rows] == [{"a": "x", "b": "1"}, {"a": "y", "b": "1"}]
+
+
+def test_targets_on_days_without_features_are_left_out(spark):
+    xs, ys = make(spark, [[float(i)] for i in range(8)], {"s": [[1.0 + 2 * i] for i in range(8)]})
+    some = xs.where(F.col("day") >= DAY0 + timedelta(days=3))
+    for choice, params in (("lr", {}), ("en", {"alpha": 1e-9})):
+        got = tensor(models.predict(models.fit(choice, some, ys, params), xs), 8, 1)
+        assert np.allclose(got["s"][:, 0], [1.0 + 2 * i for i in range(8)], atol=1e-3)
+    assert np.isfinite(tensor(models.predict(models.fit("svr", some, ys, {"estimator__C": 1.0}), some), 8, 1)["s"][3:]).all()
+
+
+def test_process_counts_each_series_own_days(spark):
+    x = [[0.0], [0.0], [1.0], [1.0], [2.0]]
+    xs, ys = make(spark, x, {"s": [[1.0], [3.0], [5.0], [6.0], [9.0]], "t": [[2.0], [2.0], [4.0], [4.0], [1.0]]})
+    holed = ys.where(~((F.col("series_id") == "s") & F.col("day").isin(DAY0, DAY0 + timedelta(days=4))))
+    got = tensor(models.predict(models.fit("gp", xs, holed, {"alpha": 0.5}), xs), 5, 1)["s"][:, 0]
+    own, y = np.array([0.0, 1.0, 1.0]), np.array([3.0, 5.0, 6.0])
+    kernel = lambda a, b: np.exp(-(a[:, None] - b[None, :]) ** 2 / 2)
+    want = kernel(np.array([0.0, 0, 1, 1, 2]), own) @ np.linalg.solve(kernel(own, own) + 0.5 * np.eye(3), y)
+    assert np.allclose(got, want)
+
+
+def test_trees_serve_opposite_series_and_all_steps(spark, tmp_path):
+    xs, ys = make(spark, [[float(i % 2)] for i in range(20)], {"s": [[10.0, 0.0]] * 20, "t": [[0.0, 10.0]] * 20})
+    for choice, params in (("rf", {"n_estimators": 5, "max_depth": 4, "random_state": 1}), ("gbr", {"estimator__n_estimators": 20})):
+        got = tensor(models.predict(models.fit(choice, xs, ys, params), xs), 20, 2)
+        assert np.allclose(got["s"], [10, 0], atol=0.5) and np.allclose(got["t"], [0, 10], atol=0.5)
+    for params in ({"min_samples_split": 7}, {"max_depth": 31}, {"nonsense": 1}):
+        with pytest.raises(ValueError):
+            models.fit("rf", xs, ys, params)

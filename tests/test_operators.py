@@ -263,6 +263,15 @@ def test_missing_prediction_is_null(spark):
     assert rows["good"].mae is None and rows["good"].mape_at is None and rows["gappy"].mae == 0.0
 
 
+def test_model_without_a_series_is_null(spark):
+    obs, preds = eval_inputs(spark)
+    holed = preds.where("not (model = 'good' and series_id = 'a')")
+    sums = E.error_sums(obs, holed, {"all": (None, None)}, models=["good", "gappy"])
+    rows = {r.model: r for r in E.global_errors(sums).collect()}
+    assert rows["good"].rmse is None and rows["gappy"].mae == 0.0
+    assert E.error_sums(obs, preds, {"all": (None, None)}, models=["good", "gappy", "absent"]).count() == 0  # no common times
+
+
 def test_r2_weights(spark):
     y = spark.createDataFrame([("a", date(2017, 1, d + 1), s, float(v)) for s, vs in ((0, [1, 2, 3]), (1, [0, 10, 20])) for d, v in enumerate(vs)],
                               "series_id string, day date, step int, y double")

@@ -6,9 +6,12 @@ Two texts agree in a register with the probability Jaccard similarity of their w
 similarity where no shingle repeats. Arrivals after the latest register was filled change nothing, so generation stops
 there. Bands of BAND registers give keys; a pair at 0.8 shares none of the BANDS keys with probability 4e-6.
 
-Equal texts are one node before banding. Under a key every member is paired with the smallest node and with one drawn
-by a hash of node and key: the pairs grow with the members, not with their square, and the draws differ from key to
-key. Pairs are verified by the exact Jaccard similarity of their shingle sets; verified pairs make the classes.
+Equal texts are one node before banding. Under a key every member is first paired with the smallest node and with one
+drawn by a hash of node and key: these pairs grow with the members, not with their square. Pairs are verified by the
+exact Jaccard similarity of their shingle sets, and verified pairs make classes. Then members of one key whose classes
+still differ are compared with each other, so that no two nodes that share a key stay apart unless they were compared
+or cannot be alike: Jaccard distance is a metric, and two members whose distances to the smallest node differ by more
+than the limit are further apart than the limit. A group of copies is one class by then and leaves nothing to compare.
 """
 
 from __future__ import annotations
@@ -86,16 +89,43 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, k1 long, k2 long, keys array<long>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def leaders(nodes: DataFrame) -> DataFrame:
+    """(key, low, drawn) of the keys that several of the nodes (node, keys) share."""
+    return nodes.select("node", F.explode("keys").alias("key")).groupBy("key") \
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.xxhash64("node", "key")).alias("drawn")) \
+        .where("low < high").drop("high")
+
+
+def candidates(nodes: DataFrame, led: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of nodes (node, keys) that meet under a key: each with two of its key's nodes."""
-    under = nodes.select("node", F.explode("keys").alias("key"))
-    leaders = materialize(
-        under.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.xxhash64("node", "key")).alias("drawn"))
-        .where("low < high").drop("high"), "keys")
-    met = under.join(leaders, "key").select("node", F.explode(F.array_distinct(F.array("low", "drawn"))).alias("other")).where("node <> other")
+    met = nodes.select("node", F.explode("keys").alias("key")).join(led, "key") \
+        .select("node", F.explode(F.array_distinct(F.array("low", "drawn"))).alias("other")).where("node <> other")
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _apart(nodes: DataFrame, led: DataFrame, roots: DataFrame, tested: DataFrame, limit: float) -> DataFrame:
+    """Distinct pairs (a, b) not yet tested whose nodes share a key, have different roots and may be within the limit."""
+    under = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key")) \
+        .join(led.select("key", "low"), "key").where("node <> low")
+    mixed = under.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    away = tested.select(F.col("a").alias("low"), F.col("b").alias("node"), "distance")
+    own = materialize(under.join(mixed, "key", "left_semi").join(away, ["low", "node"]).select("key", "node", "root", "distance"), "mixed")
+    other = own.withColumnsRenamed({"node": "node_", "root": "root_", "distance": "distance_"})
+    met = own.join(other, "key").where((F.col("root") < F.col("root_")) & (F.abs(F.col("distance") - F.col("distance_")) <= limit + 1e-9))
+    pairs = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, every, distance): the pairs' counts of common and of all shingles, and their Jaccard distances."""
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a") \
+        .join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b") \
+        .select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    every = F.col("sizes") - F.col("common")
+    return both.select("a", "b", "common", every.alias("every"), (1 - F.col("common") / every).alias("distance"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted nodes; texts of others are left out before any shuffle."""
     bits, n_bits = key_table(wanted, F.xxhash64("node"), wanted.count())
@@ -128,15 +158,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = materialize(_signed(source), "signatures")
     same = materialize(signed.groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), F.first("k1")).alias("node"), F.first("keys").alias("keys")), "texts")
-    pairs = materialize(candidates(same), "pairs")
+    led = materialize(leaders(same), "keys")
+    pairs = materialize(candidates(same, led), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(same.select("node", "k1", "k2").join(ends, "node"), "ends")
-    sets = materialize(_sets(source, wanted), "shingles")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a") \
-        .join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    linked = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common))
-    roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    wanted = materialize(same.join(ends, "node"), "ends")
+    sets = materialize(_sets(source, wanted.drop("keys")), "shingles")
+    alike = F.col("common") >= similarity * F.col("every")
+    tested = materialize(_distances(pairs, sets), "distances")
+    roots = materialize(components(tested.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+    rest = materialize(_apart(wanted, led, roots, tested, 1 - similarity), "rest")
+    found = materialize(_distances(rest, sets).where(alike).select("a", "b"), "found")
+    if not found.isEmpty():
+        # classes become nodes: the links found join them to larger ones
+        links = found.join(roots.withColumnsRenamed({"node": "a", "root": "u"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "v"}), "b", "left") \
+            .select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v"))
+        joined = materialize(components(links).select(F.col("node").alias("root"), F.col("root").alias("top")), "joined")
+        known = roots.unionByName(joined.select(F.col("root").alias("node"), "root")).distinct()
+        roots = known.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     named = same.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
     return signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
 

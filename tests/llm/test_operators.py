@@ -176,6 +176,27 @@ def test_near_duplicates_by_brute_force(spark):
     assert kept == sorted(set(root))
 
 
+def test_no_link_under_a_shared_key_is_lost(spark, monkeypatch):
+    signed = neardup._signed
+    monkeypatch.setattr(neardup, "_signed", lambda docs: signed(docs).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    rng = random.Random(8)
+    texts = []
+    for c in range(8):  # chains: each text is alike only to its neighbours, and under the one key most are not paired at first
+        own = [f"c{c}w{k}" for k in range(400)]
+        texts += [" ".join(own[25 * k:25 * k + 200]) for k in range(6)]
+    rng.shuffle(texts)
+    split = [t.split() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _jaccard(split[i], split[j]) >= 0.75:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len(set(root)) == 8
+    got = by_id(neardup.classes(frame(spark, texts), 0.75))
+    assert [got[i]["class_id"] for i in range(len(texts))] == root
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (20, 21), (21, 1), (5, 5)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(200, 240)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}

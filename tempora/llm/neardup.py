@@ -10,8 +10,10 @@ Equal texts are one node before banding. Under a key every member is first paire
 drawn by a hash of node and key: these pairs grow with the members, not with their square. Pairs are verified by the
 exact Jaccard similarity of their shingle sets, and verified pairs make classes. Then members of one key whose classes
 still differ are compared with each other, so that no two nodes that share a key stay apart unless they were compared
-or cannot be alike: Jaccard distance is a metric, and two members whose distances to the smallest node differ by more
-than the limit are further apart than the limit. A group of copies is one class by then and leaves nothing to compare.
+or cannot be alike. Two bounds tell so before a pair is made: Jaccard distance is a metric, so two members whose
+distances to the smallest node differ by more than the limit are further apart than the limit; and a set's parity is
+PARITY words of bits in which every element flips one, so two sets differ in at least as many elements as their parities
+differ in bits. A group of copies is one class by then and leaves nothing to compare.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SIMILARITY = 0.8
 BANDS = 24
 BAND = 4
 REGISTERS = BANDS * BAND
+#: 64-bit words of the parity of a shingle set.
+PARITY = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = (1 << 64) - 1
 
@@ -103,15 +107,26 @@ def candidates(nodes: DataFrame, led: DataFrame) -> DataFrame:
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _apart(nodes: DataFrame, led: DataFrame, roots: DataFrame, tested: DataFrame, limit: float) -> DataFrame:
-    """Distinct pairs (a, b) not yet tested whose nodes share a key, have different roots and may be within the limit."""
+def parity(elements: np.ndarray) -> np.ndarray:
+    """PARITY 64-bit words; each of the distinct 32-bit elements flips one bit of them."""
+    count = np.bincount(mix(elements.astype(np.uint64)) % np.uint64(64 * PARITY), minlength=64 * PARITY)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
+def _apart(nodes: DataFrame, led: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) not yet tested whose nodes share a key, have different roots and may be alike."""
     under = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key")) \
         .join(led.select("key", "low"), "key").where("node <> low")
     mixed = under.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
     away = tested.select(F.col("a").alias("low"), F.col("b").alias("node"), "distance")
-    own = materialize(under.join(mixed, "key", "left_semi").join(away, ["low", "node"]).select("key", "node", "root", "distance"), "mixed")
-    other = own.withColumnsRenamed({"node": "node_", "root": "root_", "distance": "distance_"})
-    met = own.join(other, "key").where((F.col("root") < F.col("root_")) & (F.abs(F.col("distance") - F.col("distance_")) <= limit + 1e-9))
+    own = under.join(mixed, "key", "left_semi").join(away, ["low", "node"]).join(sets.select("node", F.size("shingles").alias("n"), "parity"), "node")
+    own = materialize(own.select("key", "node", "root", "distance", "n", "parity"), "mixed")
+    other = own.select("key", *[F.col(c).alias(f"{c}_") for c in own.columns if c != "key"])
+    near = F.abs(F.col("distance") - F.col("distance_")) <= 1 - similarity + 1e-9
+    # sets with N elements together are alike if no more than N (1 - s) / (1 + s) of them are in one set only
+    differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_")[i])) for i in range(PARITY)), F.lit(0))
+    few = differ <= (F.col("n") + F.col("n_")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    met = own.join(other, "key").where((F.col("root") < F.col("root_")) & near & few)
     pairs = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -119,32 +134,32 @@ def _apart(nodes: DataFrame, led: DataFrame, roots: DataFrame, tested: DataFrame
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, every, distance): the pairs' counts of common and of all shingles, and their Jaccard distances."""
     common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a") \
-        .join(sets.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b") \
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a") \
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b") \
         .select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
     every = F.col("sizes") - F.col("common")
     return both.select("a", "b", "common", every.alias("every"), (1 - F.col("common") / every).alias("distance"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes; texts of others are left out before any shuffle."""
+    """(node, shingles, parity) of the wanted nodes; texts of others are left out before any shuffle."""
     bits, n_bits = key_table(wanted, F.xxhash64("node"), wanted.count())
-    schema = pa.schema([("node", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.list_(pa.int32()))])
+    schema = pa.schema([("node", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.list_(pa.int32())), ("parity", pa.list_(pa.int64()))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for batch in batches:
             hit = present(table, batch.column("hash").to_numpy().view(np.uint64) % np.uint64(n_bits))
             for part in slices(batch.filter(pa.array(hit)), "text"):
-                sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in parts(*shingles(part.column("text"), SHINGLE))]
-                flat = np.concatenate(sets) if sets else np.empty(0, np.int32)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "k1", "k2")),
-                                                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
+                sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in parts(*shingles(part.column("text"), SHINGLE))]
+                bit_words = [parity(s) for s in sets]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate(own).view(kind)))
+                         for own, kind in ((sets, np.int32), (bit_words, np.int64))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "k1", "k2")), *lists], schema=schema)
 
     found = docs.withColumn("node", F.coalesce("doc_id", "k1")).withColumn("hash", F.xxhash64("node")).select("node", "k1", "k2", "hash", "text") \
-        .mapInArrow(gather, "node long, k1 long, k2 long, shingles array<int>")
-    return found.join(wanted, ["node", "k1", "k2"]).dropDuplicates(["node"]).select("node", "shingles")
+        .mapInArrow(gather, "node long, k1 long, k2 long, shingles array<int>, parity array<long>")
+    return found.join(wanted, ["node", "k1", "k2"]).dropDuplicates(["node"]).select("node", "shingles", "parity")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -166,7 +181,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     alike = F.col("common") >= similarity * F.col("every")
     tested = materialize(_distances(pairs, sets), "distances")
     roots = materialize(components(tested.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    rest = materialize(_apart(wanted, led, roots, tested, 1 - similarity), "rest")
+    rest = materialize(_apart(wanted, led, roots, tested, sets, similarity), "rest")
     found = materialize(_distances(rest, sets).where(alike).select("a", "b"), "found")
     if not found.isEmpty():
         # classes become nodes: the links found join them to larger ones

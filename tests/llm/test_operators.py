@@ -152,6 +152,17 @@ def test_signatures_estimate_the_weighted_similarity():
     assert (a == again).mean() == 1  # only the proportions of the weights count
 
 
+def test_parities_differ_in_no_more_bits_than_the_sets_in_elements():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 40, 200, 3000):
+        a = rng.integers(0, 2**32, size, dtype=np.uint64).astype(np.uint32)
+        b = np.concatenate([a[: size // 2], rng.integers(0, 2**32, size // 3, dtype=np.uint64).astype(np.uint32)])
+        a, b = np.unique(a), np.unique(b)
+        bits_ = sum(bin(int(v) & (2**64 - 1)).count("1") for v in neardup.parity(a) ^ neardup.parity(b))
+        assert bits_ <= len(np.setxor1d(a, b)) and (bits_ - len(np.setxor1d(a, b))) % 2 == 0
+        assert size != 40 or bits_ > 0.8 * len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(6)
     base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30, 200))) for _ in range(60)]

@@ -126,7 +126,7 @@ def cosine_pairs_query(spark, sf_dir):
     return v.join(following, "vec_id").select("vec_id", F.round(cosine_similarity(F.col("e"), F.col("f")), 6).alias("similarity"))
 
 
-_CV = _TUPLES + """, f AS (SELECT day, (ntile(5) OVER (ORDER BY day) - 1)::INT AS fold FROM (SELECT DISTINCT day FROM t WHERE year(day) < 2000)),
+_CV = _TUPLES + """, f AS (SELECT day, (ntile(5) OVER (ORDER BY day) - 1)::INT AS fold FROM (SELECT DISTINCT day FROM t)),
 tf AS (SELECT t.*, f.fold FROM t JOIN f USING (day)), k AS (SELECT unnest(range(5))::INT AS fold),
 m AS (SELECT k.fold, series_id, wd, mon, avg(value) AS p0, median(value) AS p1 FROM tf JOIN k ON tf.fold <> k.fold GROUP BY 1, 2, 3, 4),
 s AS (SELECT k.fold, CASE WHEN tf.fold = k.fold THEN 'test' ELSE 'train' END AS split, m.series_id, value, p0, p1
@@ -138,8 +138,7 @@ cv AS (SELECT series_id, 0 AS param_idx, fold, split, s0 AS score FROM r UNION A
 
 def _search(spark, sf_dir):
     x, y = _xy(spark, sf_dir)
-    early = F.year("day") < 2000
-    return grid_search("ha", x.where(early), y.where(early), {"method": ["mean", "median"]}, n_splits=5)
+    return grid_search("ha", x, y, {"method": ["mean", "median"]}, n_splits=5)
 
 
 @query("q42_grid_search_ha", f"WITH {_CV} SELECT series_id, param_idx, fold, split, round(score, 6) AS score FROM cv")
@@ -147,6 +146,29 @@ def grid_search_query(spark, sf_dir):
     return _search(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+_UNSEEN = DAILY_DENSE + """, t AS (SELECT series_id, day, value, (year(day) - 1990)::INT AS yr, month(day)::INT AS mon FROM ddense),
+f AS (SELECT day, (ntile(5) OVER (ORDER BY day) - 1)::INT AS fold FROM (SELECT DISTINCT day FROM t)),
+tf AS (SELECT t.*, f.fold FROM t JOIN f USING (day)), k AS (SELECT unnest(range(5))::INT AS fold),
+m AS (SELECT k.fold, series_id, yr, mon, avg(value) AS p0 FROM tf JOIN k ON tf.fold <> k.fold GROUP BY 1, 2, 3, 4),
+have AS (SELECT DISTINCT fold, yr, mon FROM m), need AS (SELECT DISTINCT fold, yr, mon FROM tf),
+near AS (SELECT n.fold, n.yr, n.mon, h.yr AS hyr, h.mon AS hmon, row_number() OVER (PARTITION BY n.fold, n.yr, n.mon ORDER BY
+    (n.yr = h.yr AND n.mon = h.mon) DESC,
+    round((n.yr * h.yr + n.mon * h.mon) / (sqrt(n.yr * n.yr + n.mon * n.mon) * sqrt(h.yr * h.yr + h.mon * h.mon)), 12) DESC, h.yr, h.mon) AS rn
+  FROM need n JOIN have h ON h.fold = n.fold),
+s AS (SELECT tf.fold, tf.series_id, value, p0 FROM tf JOIN near n ON n.fold = tf.fold AND n.yr = tf.yr AND n.mon = tf.mon AND rn = 1
+  JOIN m ON m.fold = tf.fold AND m.series_id = tf.series_id AND m.yr = n.hyr AND m.mon = n.hmon)"""
+
+
+@query("q42_grid_search_unseen", f"""WITH {_UNSEEN} SELECT series_id, fold, round(1 - sum((value - p0) ** 2) / (var_pop(value) * count(*)), 6) AS score
+FROM s GROUP BY 1, 2""")
+def grid_search_unseen_query(spark, sf_dir):
+    """Features are year and month, so most days of a held-out fold have a tuple that its models never saw."""
+    y = materialize(daily_targets(spark, sf_dir), "y")
+    x = day_vectors_of(y.select("day").distinct(), F.year("day") - 1990, month())
+    cv = grid_search("ha", x, y, {"method": ["mean"]}, n_splits=5, train_score=False)
+    return cv.select("series_id", "fold", F.round("score", 6).alias("score"))
+
+
 @query("q42_best_params", f"""WITH {_CV}, a AS (SELECT series_id, param_idx, avg(score) AS score FROM cv WHERE split = 'test' GROUP BY 1, 2)
 SELECT series_id, param_idx, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, param_idx) AS rn FROM a) WHERE rn = 1""")
 def best_params_query(spark, sf_dir):

@@ -49,66 +49,75 @@ def unmatched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
 
 
 _SIM_DIGITS = 12  # similarities equal to this many digits are ties
-_ANGLE_SLACK = 1e-6  # covers the rounding of acos near 1
+_ANGLE_SLACK = 4e-6  # covers the angle between similarities that are equal to _SIM_DIGITS, and acos near 1
 
 
 def _angle(a: Column, b: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
 
 
-def nearest_vectors(queries: DataFrame, keys: DataFrame, n_cells: int = 32, chunk: int = 256) -> DataFrame:
-    """For each distinct query vector the key vector with the largest cosine similarity.
+def nearest_vectors(queries: DataFrame, keys: DataFrame, n_cells: int = 32, chunk: int = 256,
+                    sets: Sequence[str] = ()) -> DataFrame:
+    """For each distinct query vector the key vector of its set with the largest cosine similarity.
 
-    Input columns ``q`` and ``k`` are ARRAY<DOUBLE>; output is (q, k, similarity). Ties go to the smallest key in
-    lexicographic order; a zero vector has no similarity and comes last.
+    Input columns ``q`` and ``k`` are ARRAY<DOUBLE>, ``sets`` are integer columns of both; output is
+    (sets, q, k, similarity). Ties go to the smallest key in lexicographic order; a zero vector has no similarity and
+    comes last. A query whose set has no keys gets a NULL key.
 
-    The angle is a metric, so the keys are put into cells around ``n_cells`` of them and the triangle inequality
-    rules out, per query, every cell that cannot hold the nearest key; the result is exact. A query meets a cell as
-    chunks of about ``chunk`` keys and each meeting yields one row, its best key, so no pair is ever emitted and a
-    cell holding most keys is still spread over many tasks.
+    The angle is a metric, so the keys are put into cells around ``n_cells`` of them. A query first meets the cell with
+    the closest centre; the angle found there and the triangle inequality then rule out every cell that cannot hold a
+    nearer key, so the result is exact. A cell is met as chunks of about ``chunk`` keys, joined on (set, cell, chunk),
+    and each meeting yields one row, its best key: no pair is ever emitted and a cell holding most keys is spread over
+    many tasks.
     """
-    q = queries.select("q").distinct()
-    k = keys.select("k").distinct()
+    own = F.array(*[F.col(s).cast("long") for s in sets]).cast("array<long>").alias("own")
+    q = queries.select(*sets, own, "q").distinct()
+    k = keys.select(own, "k").distinct()
     k_unit = k.where(norm(F.col("k")) > 0).withColumn("ku", unit(F.col("k")))
 
     centre = F.struct(F.md5(F.to_json(F.struct("k"))).alias("h"), F.col("ku").alias("u"))
-    centres = k_unit.select(centre.alias("c")).orderBy("c").limit(n_cells)
+    centres = k_unit.select(centre.alias("c")).distinct().orderBy("c").limit(n_cells)
     centre_list = centres.agg(F.array_sort(F.collect_list("c")).alias("list")).scalar()
 
     placed = materialize(
         k_unit.withColumn("cs", centre_list)
         .withColumn("best", F.array_min(F.transform(
             F.col("cs"), lambda c, i: F.struct(_angle(c["u"], F.col("ku")).alias("a"), i.alias("cell")))))
-        .select("k", "ku", F.col("best.cell").alias("cell"), F.col("best.a").alias("a"),
+        .select("own", "k", "ku", F.col("best.cell").alias("cell"), F.col("best.a").alias("a"),
                 F.element_at("cs", F.col("best.cell") + 1)["u"].alias("u")), "placed")
-    cells = placed.groupBy("cell").agg(F.min("a").alias("near"), F.max("a").alias("far"),
-                                       F.count(F.lit(1)).alias("n"), F.first("u").alias("u"))
-    cell_list = cells.agg(F.collect_list(F.struct("cell", "near", "far", "n", "u")).alias("list")).scalar()
+    cells = materialize(placed.groupBy("own", "cell").agg(
+        F.min("a").alias("near"), F.max("a").alias("far"), F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("long").alias("parts"),
+        F.first("u").alias("u")), "cells")
+    cell_list = cells.agg(F.collect_list(F.struct("own", "cell", "near", "far", "parts", "u")).alias("list")).scalar()
 
+    mine = F.filter(F.col("cells"), lambda c: (c["own"] == F.col("own")) & (c["cell"] == F.col("cell")))
     chunks = (
-        placed.join(cells.select("cell", "n"), "cell")
-        .withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / F.lit(chunk)).cast("long")))
-        .groupBy("cell", "part").agg(F.collect_list(F.struct("k", "ku")).alias("members"))
+        placed.withColumn("cells", cell_list).withColumn("part", F.pmod(F.xxhash64("k"), F.element_at(mine, 1)["parts"]))
+        .groupBy("own", "cell", "part").agg(F.collect_list(F.struct("k", "ku")).alias("members"))
     )
-
-    reach = F.transform(F.col("cells"), lambda c: F.struct(
-        c["cell"].alias("cell"), c["near"].alias("near"), c["far"].alias("far"), _angle(c["u"], F.col("qu")).alias("a")))
-    bound = F.array_min(F.transform(F.col("reach"), lambda c: c["a"] + c["near"])) + F.lit(_ANGLE_SLACK)
-    visits = (
-        q.where(norm(F.col("q")) > 0).withColumn("qu", unit(F.col("q"))).withColumn("cells", cell_list)
-        .withColumn("reach", reach).withColumn("bound", bound)
-        .select("q", "qu", F.explode(F.filter(
-            F.col("reach"),
-            lambda c: (c["a"] - c["far"] <= F.col("bound")) & (c["near"] - c["a"] <= F.col("bound")))).alias("c"))
-        .select("q", "qu", F.col("c.cell").alias("cell"))
-    )
-
     rank = F.transform(F.col("members"), lambda m: F.struct(
         (-F.round(dot(m["ku"], F.col("qu")), _SIM_DIGITS)).alias("minus_sim"), m["k"].alias("k")))
-    best = (
-        visits.join(chunks, "cell").select("q", F.array_min(rank).alias("best"))
-        .groupBy("q").agg(F.min("best").alias("best"))
-    )
-    smallest = k.agg(F.min("k").alias("k")).scalar()
-    return q.join(best, "q", "left").select(
-        "q", F.coalesce(F.col("best.k"), smallest).alias("k"), (-F.col("best.minus_sim")).alias("similarity"))
+
+    def best_of(visits: DataFrame) -> DataFrame:
+        spread = visits.select("own", "q", "qu", F.col("c.cell").alias("cell"),
+                               F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.parts") - 1)).alias("part"))
+        met = spread.join(chunks, ["own", "cell", "part"]).select("own", "q", F.array_min(rank).alias("best"))
+        return met.groupBy("own", "q").agg(F.min("best").alias("best"))
+
+    reach = F.transform(F.filter(F.col("cells"), lambda c: c["own"] == F.col("own")), lambda c: F.struct(
+        _angle(c["u"], F.col("qu")).alias("a"), c["cell"].alias("cell"), c["near"].alias("near"), c["far"].alias("far"),
+        c["parts"].alias("parts")))
+    asked = materialize(q.where(norm(F.col("q")) > 0).withColumn("qu", unit(F.col("q"))).withColumn("cells", cell_list)
+                        .select("own", "q", "qu", reach.alias("reach")).withColumn("home", F.array_min("reach")), "asked")
+    first = materialize(best_of(asked.withColumn("c", F.col("home"))), "first")
+
+    found = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("best.minus_sim")))) + F.lit(_ANGLE_SLACK)
+    others = asked.join(first, ["own", "q"]).withColumn("found", found).withColumn("c", F.explode(F.filter(
+        F.col("reach"), lambda c: (c["cell"] != F.col("home.cell")) & (c["a"] - c["far"] <= F.col("found"))
+        & (c["near"] - c["a"] <= F.col("found")))))
+    best = first.unionByName(best_of(others)).groupBy("own", "q").agg(F.min("best").alias("best"))
+
+    lows = k.groupBy("own").agg(F.min("k").alias("k")).agg(F.collect_list(F.struct("own", "k")).alias("list")).scalar()
+    smallest = F.try_element_at(F.filter(F.col("lows"), lambda c: c["own"] == F.col("own")), F.lit(1))["k"]
+    return q.join(best, ["own", "q"], "left").withColumn("lows", lows).select(
+        *sets, "q", F.coalesce(F.col("best.k"), smallest).alias("k"), (-F.col("best.minus_sim")).alias("similarity"))

@@ -72,17 +72,15 @@ def match_days(tuples: DataFrame, x_new: DataFrame, sets: list[str]) -> DataFram
     """(sets, day, tuple_id): each day's own tuple, or the known one most similar by cosine.
 
     Only calendar-sized tables take part, and the search is planned only when some tuple is unknown. Models per fold
-    know different tuples each; they answer exact matches only.
+    know different tuples each, so the search is one per set.
     """
     exact = x_new.join(tuples, [*sets, "x"]).select(*sets, "day", "tuple_id")
-    if sets:
-        return exact
-    unknown = x_new.join(tuples, "x", "left_anti")
+    unknown = x_new.join(tuples, [*sets, "x"], "left_anti")
     if unknown.isEmpty():
         return exact
-    near = nearest_vectors(unknown.select(F.col("x").alias("q")), tuples.select(F.col("x").alias("k")))
-    found = (unknown.join(near.select(F.col("q").alias("x"), "k"), "x")
-             .join(tuples.select(F.col("x").alias("k"), "tuple_id"), "k").select("day", "tuple_id"))
+    near = nearest_vectors(unknown.select(*sets, F.col("x").alias("q")), tuples.select(*sets, F.col("x").alias("k")), sets=sets)
+    found = (unknown.join(near.select(*sets, F.col("q").alias("x"), "k"), [*sets, "x"])
+             .join(tuples.select(*sets, F.col("x").alias("k"), "tuple_id"), [*sets, "k"]).select(*sets, "day", "tuple_id"))
     return exact.unionByName(found)
 
 

@@ -280,3 +280,12 @@ def test_r2_weights(spark):
     keys = ["series_id", "param_idx"]
     assert E.r2_scores(y, p, keys, ["series_id"]).first().score == 0.5
     assert math.isclose(E.r2_scores(y, p, keys, ["series_id"], "variance").first().score, 200 / 202)
+
+
+def test_nearest_vectors_within_each_set(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 1.0]), (1, [0.0, 1.0]), (1, [0.0, 2.0])]
+    k = spark.createDataFrame(rows, "fold int, k array<double>")
+    asked = [(0, [0.1, 1.0]), (1, [0.1, 1.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0])]
+    q = spark.createDataFrame(asked, "fold int, q array<double>")
+    got = {(r.fold, tuple(r.q)): r.k for r in nearest_vectors(q, k, 2, 1, sets=["fold"]).collect()}
+    assert got == {(0, (0.1, 1.0)): [1.0, 1.0], (1, (0.1, 1.0)): [0.0, 1.0], (1, (0.0, 0.0)): [0.0, 1.0], (2, (1.0, 1.0)): None}

@@ -37,6 +37,8 @@ _SECOND = 0xA24BAED4963EE407
 
 def _anchors(h: np.ndarray, at: np.ndarray, window: int, anchor: int) -> np.ndarray:
     """The anchor of each window: the smallest anchor hash inside it."""
+    if not len(at):  # the words of all texts together may be fewer than a window
+        return np.empty(0, np.uint64)
     low, span = sliding(h, anchor), window - anchor + 1
     width = 1
     while 2 * width <= span:
@@ -44,7 +46,7 @@ def _anchors(h: np.ndarray, at: np.ndarray, window: int, anchor: int) -> np.ndar
         low = np.minimum(low[:n], low[width:])
         width *= 2
     # two overlapping runs of a power of two cover the span
-    return np.minimum(low[at], low[at + span - width]) if len(at) else np.empty(0, np.uint64)
+    return np.minimum(low[at], low[at + span - width])
 
 
 def _cells(anchors: np.ndarray, row: int, n_bits: int) -> np.ndarray:
@@ -92,6 +94,8 @@ def repeated_anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                 h, counts = word_hashes(part.column("text"))
                 at, n = windows(counts, window)
                 named = _anchors(h, at, window, anchor)
+                if not len(named):
+                    continue
                 doc = np.repeat(np.arange(len(n)), n)
                 new = np.ones(len(named), bool)
                 new[1:] = (named[1:] != named[:-1]) | (doc[1:] != doc[:-1])

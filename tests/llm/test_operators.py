@@ -102,6 +102,15 @@ def test_substrings_by_brute_force(spark, n_bits):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) == (len(w), len(gone), kept)
 
 
+def test_substrings_of_partitions_shorter_than_a_window(spark):
+    texts = [" ".join(f"d{n}w{k}" for k in range(n)) for n in range(61)]
+    rows = [(n, t) for n, t in enumerate(texts)] + [(100, "x " + texts[60])]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = by_id(substrings.remove_repeats(docs))
+    assert all((got[n]["n_words"], got[n]["n_removed"], got[n]["kept_text"]) == (n, 0, t) for n, t in enumerate(texts))
+    assert (got[100]["n_removed"], got[100]["kept_text"]) == (60, "x")
+
+
 def test_lines_by_brute_force(spark):
     rng = random.Random(3)
     texts = ["\n".join(rng.choice(["menu", "foot", "", " ", f"line {i} {j}"]) for j in range(6)) for i in range(60)] + [None, ""]

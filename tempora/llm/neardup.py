@@ -1,10 +1,15 @@
 """Near-duplicate documents by ProbMinHash on weighted five-word shingles.
 
-Every shingle is a Poisson process whose rate is its weight, 1 + log(count in the text), and whose arrivals each fall
-into one of REGISTERS registers; both depend on the shingle alone. A register keeps the shingle that arrives first.
-Two texts agree in a register with the probability Jaccard similarity of their weights, which is the Jaccard
-similarity where no shingle repeats. Arrivals after the latest register was filled change nothing, so generation stops
-there. Bands of BAND registers give keys; a pair at 0.8 shares none of the BANDS keys with probability 4e-6.
+Every shingle is a Poisson process whose rate is its weight and whose arrivals each fall into one of REGISTERS
+registers; both depend on the shingle alone. A register keeps the shingle that arrives first. Two texts agree in a
+register with the probability Jaccard similarity of their weights, which is the Jaccard similarity where no shingle
+repeats. Arrivals after the latest register was filled change nothing, so generation stops there.
+
+Links are judged by the sets, so weights must not part what the sets have in common. They grow with the count of a
+shingle in the text, but from 1 to less than HEAVIEST. A register then agrees for each common shingle i with probability
+1 / sum_j max(a_j / a_i, b_j / b_i), no term of which is above HEAVIEST: whatever repeats, the weighted similarity is at
+least the sets' similarity divided by HEAVIEST. Bands of BAND registers give keys; a pair at 0.8 has at least 0.8 /
+HEAVIEST = 0.762 and shares none of the BANDS keys with a probability of at most (1 - 0.762^4)^31 = 2.9e-6.
 
 Equal texts are one node before banding. Under a key every member is first paired with the smallest node and with one
 drawn by a hash of node and key: these pairs grow with the members, not with their square. Pairs are verified by the
@@ -32,7 +37,9 @@ from tempora.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 24
+#: What the weights of shingles stay below; a shingle that stands once weighs 1.
+HEAVIEST = 1.05
+BANDS = 31
 BAND = 4
 REGISTERS = BANDS * BAND
 #: 64-bit words of the parity of a shingle set.
@@ -41,6 +48,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = (1 << 64) - 1
 
 
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    """The weights of shingles by their counts in the text: 1 for one, growing towards HEAVIEST."""
+    return HEAVIEST - (HEAVIEST - 1) / counts
+
+
 def signature(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """The first element to arrive in each register. elements: distinct 64-bit hashes; none gives empty registers."""
     first = np.full(registers, np.inf)
@@ -80,7 +92,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys = []
                 for own in parts(*shingles(part.column("text"), SHINGLE)):
                     element, n = np.unique(own, return_counts=True)
-                    rows = mix(signature(element, 1 + np.log(n))).reshape(BANDS, BAND)
+                    rows = mix(signature(element, weights_of(n))).reshape(BANDS, BAND)
                     key = band.copy()
                     for j in range(BAND):
                         key = mix(key + rows[:, j])

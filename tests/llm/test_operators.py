@@ -161,6 +161,34 @@ def test_signatures_estimate_the_weighted_similarity():
     assert (a == again).mean() == 1  # only the proportions of the weights count
 
 
+def test_repeats_do_not_part_alike_sets():
+    # 396 common shingles and 48 own ones on each side, which repeat: 0.805 by the sets
+    rng = np.random.default_rng(12)
+    for times in (1, 10, 200, 10**6):
+        lost = agree = 0
+        for _ in range(150):
+            ids = rng.integers(0, 1 << 63, 492).astype(np.uint64)
+            n = np.r_[np.ones(396, int), np.full(96, times)]
+            a, b = (neardup.signature(ids[own], neardup.weights_of(n[own])) for own in (np.arange(444), np.r_[np.arange(396), np.arange(444, 492)]))
+            same = (a == b).reshape(neardup.BANDS, neardup.BAND)
+            agree += same.mean() / 150
+            lost += not same.all(1).any()
+        assert not lost and agree > 0.8 / neardup.HEAVIEST - 0.01, times
+    assert (1 - (0.8 / neardup.HEAVIEST) ** neardup.BAND) ** neardup.BANDS < 4e-6
+
+
+def test_links_of_texts_with_own_repeated_lines(spark):
+    # pairs whose common part stands once and whose own sentence is repeated 200 times
+    texts = []
+    for p in range(60):
+        common = " ".join(f"p{p}c{k}" for k in range(396))
+        texts += [common + "".join(" " + " ".join(f"p{p}{side}{k}" for k in range(42)) for _ in range(200)) for side in "ab"]
+    split = [t.split() for t in texts]
+    assert all(0.8 <= _jaccard(split[i], split[i + 1]) < 0.82 for i in range(0, 120, 2))
+    got = by_id(neardup.class_table(frame(spark, texts)))
+    assert [got[i]["class_id"] for i in range(120)] == [i - i % 2 for i in range(120)]
+
+
 def test_parities_differ_in_no_more_bits_than_the_sets_in_elements():
     rng = np.random.default_rng(5)
     for size in (0, 1, 40, 200, 3000):

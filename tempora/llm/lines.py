@@ -14,8 +14,10 @@ from tempora.session import materialize
 
 #: A line goes from a host if more than this share of the host's pages have it ...
 RATIO = 0.1
-#: ... and at least so many pages, since a share of a few pages says nothing.
+#: ... and at least so many pages. The SQL of op3 names this floor: below 50 pages a host's threshold is 5 pages.
 MIN_PAGES = 5
+#: The floor for documents: the ratio alone decides, but a line of one document is not shared.
+MIN_DOCUMENTS = 2
 
 
 def html_lines(html: Column) -> Column:
@@ -79,7 +81,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Documents without the lines that are boilerplate in their source; ``n_chars`` follows, where there is one."""
-    done = drop_boilerplate(docs, F.col("source"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    done = drop_boilerplate(docs, F.col("source"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), min_pages=MIN_DOCUMENTS)
     new = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.array_join("kept", "\n"))
     made = {"text": new, "n_chars": F.length(new).cast("long")}
     return done.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

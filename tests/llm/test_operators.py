@@ -126,6 +126,16 @@ def test_lines_by_brute_force(spark):
             assert got[i]["text"] == want and got[i]["n_chars"] == (None if want is None else len(want))
 
 
+def test_the_ratio_alone_decides_on_small_sources(spark):
+    # sources of 1 to 49 documents; "line k" stands in the first k documents of each
+    where = [(n, i) for n in (1, 2, 4, 5, 15, 26, 49) for i in range(n)]
+    texts = ["\n".join([f"own {n} {i}", *(f"line {k}" for k in range(1, 7) if i < k)]) for n, i in where]
+    got = by_id(lines.clean_documents(frame(spark, texts, lambda i: f"s{where[i][0]}")))
+    for at, (n, i) in enumerate(where):
+        gone = {f"line {k}" for k in range(1, 7) if min(k, n) >= 2 and min(k, n) > 0.1 * n}
+        assert got[at]["text"] == "\n".join(x for x in texts[at].split("\n") if x not in gone), (n, i)
+
+
 def test_chat_by_brute_force(spark):
     rng = random.Random(4)
     talks = {0: [("u", "a")], 1: [("u", "a"), ("v", "b")], 2: [("u", "a"), ("v", "b")], 3: [("u", None), ("v", "")], 4: [("u", ""), (None, "")],

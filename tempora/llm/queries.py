@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import chat, fingerprints, lattice, lines, mixing, neardup, outliers, packing, sharding, substrings
+from tempora.llm import (audit, chat, fingerprints, incidence, lattice, lines, mixing, neardup, outliers, packing, sharding, substrings,
+                         whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,18 @@ def _(spark, sf_dir):
 @query("op8_grouping_genetic_packing")
 def _(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op11_bit_sliced_whitening")
+def _(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_incidence_join", incidence.SQL)
+def _(spark, sf_dir):
+    return incidence.join_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_trie_filter_audit", audit.SQL)
+def _(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -46,6 +46,8 @@ BLOCK = 1 << 16
 ROUNDS = 3
 #: Rows of a block of the product.
 ROWS = 2000
+#: Texts are shingled in slices of about so many bytes.
+SLICE_BYTES = 1 << 18
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -59,9 +61,11 @@ def need(x: Column, y: Column, percent: int = PERCENT) -> Column:
     return F.ceil((x + y) * percent / (100 + percent) - 1e-9)
 
 
-def _texts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    lower = pc.ascii_lower(pc.fill_null(batch.column("text"), ""))
-    return batch.set_column(batch.schema.get_field_index("text"), "text", lower)
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Small parts of a batch in lower case: the arrays of a part are about a hundred times its text."""
+    for part in slices(batch, "text", SLICE_BYTES):
+        lower = pc.ascii_lower(pc.fill_null(part.column("text"), ""))
+        yield part.set_column(part.schema.get_field_index("text"), "text", lower)
 
 
 def _sets_of(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -78,7 +82,7 @@ def frequency_classes(docs: DataFrame, k: int = SHINGLE, cells: int | None = Non
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.uint32)
         for batch in batches:
-            for part in slices(_texts(batch), "text"):
+            for part in _slices(batch):
                 for own in _sets_of(part, k):
                     np.add.at(total, own % np.uint64(cells), 1)
         blocks = [b for b in range(cells // BLOCK) if total[b * BLOCK:(b + 1) * BLOCK].any()]
@@ -113,7 +117,7 @@ def _signed(docs: DataFrame, classes: Broadcast, cells: int, k: int, percent: in
         table = classes.value
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            for part in slices(_texts(batch), "text"):
+            for part in _slices(batch):
                 keys, sizes, prefixes = [], [], []
                 for own in _sets_of(part, k):
                     key = set_keys(own)
@@ -142,7 +146,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             hit = present(table, batch.column("th").to_numpy().view(np.uint64) % np.uint64(n_bits))
             seen: set[tuple[int, int]] = set()
-            for part in slices(_texts(batch.filter(pa.array(hit))), "text"):
+            for part in _slices(batch.filter(pa.array(hit))):
                 found = {}
                 for own in _sets_of(part, k):
                     key = set_keys(own)

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-for _name in ("dates", "shaping", "scaling", "averages", "evaluations", "datasets", "regression", "jobs"):
+for _name in ("dates", "shaping", "scaling", "averages", "evaluations", "datasets", "regression", "solutions", "jobs"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ from tempora.functions.calendar import day_flags, with_categories
 from tempora.functions.dates import day_start, lookup
 from tempora.operators.joins import grouped_ids, unmatched
 from tempora.operators.select import last_wins, map_codes, series_subset
+from tempora.operators.windows import place_in_order
 from tempora.plans.observations import (HOUR_SLOTS, clean_profiles, clean_totals, disaggregate, missing_share,
                                         observation_table, profile_table, slot_time)
 from tempora.session import materialize
@@ -167,8 +168,7 @@ def unmatched_query(spark, sf_dir):
 def shared_ids_query(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"))
     shared = customers.intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
-    ordered = shared.agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return ordered.select(F.posexplode("ids").alias("p", "id")).select("id", (F.col("p") + 1).alias("place"))
+    return place_in_order(shared, ["id"]).withColumn("place", F.col("place").cast("int"))
 
 
 @query("q41_code_labels", """SELECT event_type, CASE event_type """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_IDS.items()) +

@@ -9,6 +9,7 @@ from tempora.functions.calendar import (CATEGORY1_EN, CATEGORY1_ID, CATEGORY2_EN
                                         period_days, with_categories)
 from tempora.operators.grid import day_grid, fill_forward_backward
 from tempora.operators.select import label_slice
+from tempora.operators.windows import place_in_order
 from tempora.plans.calendar_table import calendar_table
 from tempora.session import materialize
 
@@ -20,15 +21,16 @@ from .base import (CALENDAR, DAILY, HOURLY, ORDER_DAYS, event_counts, holidays_f
 SELECT series_id, day, value FROM daily
 WHERE strftime(day, '%Y-%m-%d %H:%M:%S') >= '1996' AND strftime(day, '%Y-%m-%d %H:%M:%S') <= '1998-03'""")
 def label_slice_query(spark, sf_dir):
-    sliced = label_slice(order_counts(spark, sf_dir), "1996", "1998-03")
-    return sliced.select("series_id", F.to_date("ts").alias("day"), "value")
+    """The slice is taken before the counts, on the column that the file has."""
+    rows = label_slice(table(spark, sf_dir, "orders"), "1996", "1998-03", "o_orderdate")
+    return rows.groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
 @query("q03_sorted_days", """SELECT day, (row_number() OVER (ORDER BY day))::INT AS place FROM
 (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)""")
 def sorted_days_query(spark, sf_dir):
-    ordered = table(spark, sf_dir, "orders").agg(F.array_sort(F.collect_set(F.to_date("o_orderdate"))).alias("d"))
-    return ordered.select(F.posexplode("d").alias("p", "day")).select("day", (F.col("p") + 1).alias("place"))
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return place_in_order(days, ["day"]).withColumn("place", F.col("place").cast("int"))
 
 
 @query("q06_grid_overshoot", """WITH span AS (SELECT event_type AS series_id, ts::DATE AS day,

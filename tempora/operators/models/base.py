@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ...session import materialize
 from ...sources.tables import read_manifest, write_manifest, write_table
 
 # Names of the estimators.
@@ -24,7 +25,6 @@ class Fitted:
     grid: list[dict]
     units: list[str]
     sets: list[str] = field(default_factory=list)
-    extra: dict = field(default_factory=dict)
 
 
 def get_estimator(choice: str):
@@ -44,7 +44,10 @@ def fit(choice: str, x: DataFrame, y: DataFrame, grid: Sequence[dict] | dict | N
     """Fit one model per unit and parameter set. A single dict is shared by every series."""
     grid = [grid] if grid is None or isinstance(grid, dict) else list(grid)
     grid = [clean_params(p) for p in grid]
-    return get_estimator(choice).fit(choice, x, y, grid, list(units), list(sets), chosen)
+    fitted = get_estimator(choice).fit(choice, x, y, grid, list(units), list(sets), chosen)
+    # written once: predictions, stores and reports all read it
+    fitted.tables["model"] = materialize(fitted.tables["model"], "model")
+    return fitted
 
 
 def predict(fitted: Fitted, x_new: DataFrame, floor: bool = True) -> DataFrame:
@@ -55,27 +58,14 @@ def predict(fitted: Fitted, x_new: DataFrame, floor: bool = True) -> DataFrame:
     return out
 
 
-def expand_params(df: DataFrame, grid: list[dict], units: list[str], chosen: DataFrame | None) -> DataFrame:
-    """Add ``param_idx``: all of the grid, or the one chosen per unit."""
-    if chosen is not None:
-        keys = [c for c in chosen.columns if c != "param_idx"]
-        return df.join(chosen, keys)
-    if len(grid) == 1:
-        return df.withColumn("param_idx", F.lit(0))
-    return df.withColumn("param_idx", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
-
-
 def save_model(fitted: Fitted, path: str, force: bool = False, infos: dict | None = None) -> str:
     """Store the tables as Parquet and the settings as a manifest beside them."""
     get_estimator(fitted.choice)
     spark = next(iter(fitted.tables.values())).sparkSession if fitted.tables else SparkSession.active()
     for name, table in fitted.tables.items():
         write_table(table, f"{path}/{name}", force)
-    for name, model in fitted.extra.get("ml_models", {}).items():
-        writer = model.write()
-        (writer.overwrite() if force else writer).save(f"{path}/ml_{name}")
     state = {"choice": fitted.choice, "grid": fitted.grid, "units": fitted.units, "sets": fitted.sets,
-             "tables": sorted(fitted.tables), "ml_models": sorted(fitted.extra.get("ml_models", {}))}
+             "tables": sorted(fitted.tables)}
     write_manifest(spark, f"{path}/manifest", {**{k: str(v) for k, v in (infos or {}).items()}, **_as_json(state)}, force)
     return path
 
@@ -88,10 +78,6 @@ def _as_json(state: dict) -> dict:
 def load_model(spark: SparkSession, path: str) -> Fitted:
     import json
     infos = read_manifest(spark, f"{path}/manifest")
-    state = {k: json.loads(infos[k]) for k in ("choice", "grid", "units", "sets", "tables", "ml_models")}
+    state = {k: json.loads(infos[k]) for k in ("choice", "grid", "units", "sets", "tables")}
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in state["tables"]}
-    extra = {}
-    if state["ml_models"]:
-        loader = get_estimator(state["choice"]).load_ml
-        extra["ml_models"] = {name: loader(state["choice"], f"{path}/ml_{name}") for name in state["ml_models"]}
-    return Fitted(state["choice"], tables, state["grid"], state["units"], state["sets"], extra)
+    return Fitted(state["choice"], tables, state["grid"], state["units"], state["sets"])

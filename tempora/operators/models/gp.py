@@ -1,10 +1,11 @@
 """Gaussian process mean with the kernel 1 * RBF(1) and noise ``alpha`` on the diagonal.
 
 Days with equal features are collapsed: the mean on distinct tuples with the noise divided by their number of days is
-the same mean. The tuples are calendar features, so their kernel matrix is small and shared by every series. Spark
-averages the targets per tuple; with K the kernel of the tuples and N their day counts,
-``(K + alpha / N)^-1 = N^0.5 Q (L + alpha)^-1 Q' N^0.5`` where ``Q L Q'`` are the eigenvectors and eigenvalues of
-``N^0.5 K N^0.5``, so one decomposition serves every series, step and ``alpha``.
+the same mean. With K the kernel of the tuples and N their day counts the dual is
+``N^0.5 (N^0.5 K N^0.5 + alpha)^-1 N^0.5 (m - centre)``, m the mean targets of the tuples. All models of a block
+(:mod:`.arrays`) with the same days and the same ``alpha`` are right sides of one positive definite system; the kernel
+is made in the task that needs it, from the rows of its set. A series with missing days has its own counts and so its
+own system. A task's memory grows with the squared number of distinct tuples of calendar days, not with the series.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import MAX_CELLS, by_set, design, set_key
-from .base import Fitted, expand_params
-from .tuples import tag_days, tuple_table
+from .arrays import (alike, by_param, check_params, count_models, day_rows, in_blocks, long_rows, matrix, on_days, shape, target_vectors,
+                     unit_schema, with_params)
+from .base import Fitted
+
+# Parameters; the only kernel; those without effect, as the kernel has nothing to optimise.
+_USED = {"alpha", "normalize_y"}
+_WITHOUT_EFFECT = {"kernel": (None,), "optimizer": None, "n_restarts_optimizer": None, "copy_X_train": None, "random_state": None}
 
 
 def rbf(a: np.ndarray, b: np.ndarray, length: float = 1.0) -> np.ndarray:
@@ -23,92 +28,70 @@ def rbf(a: np.ndarray, b: np.ndarray, length: float = 1.0) -> np.ndarray:
     return np.exp(-np.maximum(d, 0.0) / (2 * length ** 2))
 
 
-def _decompose(tuples: DataFrame, sets: list[str]) -> dict[tuple, dict]:
-    """Eigenvectors and eigenvalues per set. The squared number of tuples is bounded before anything is fetched."""
-    counts = [r["m"] for r in tuples.groupBy(*sets).agg(F.count(F.lit(1)).alias("m")).collect()]
-    if sum(m * m for m in counts) > MAX_CELLS:
-        raise ValueError(f"too many distinct feature tuples for an exact solution: {counts}")
-    out = {}
-    for key, part in by_set(tuples.toPandas().sort_values("tuple_id"), sets):
-        x, n = np.array(part["x"].tolist(), dtype=float), part["n_days"].to_numpy(dtype=float)
-        root = np.sqrt(n)
-        values, vectors = np.linalg.eigh(rbf(x, x) * np.outer(root, root))
-        out[key] = {"x": x, "n": n, "values": np.maximum(values, 0.0), "vectors": vectors}
-    return out
+def tuples_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the first days with each distinct tuple of the given days, the tuple of each day, and their counts."""
+    _, first, which, counts = np.unique(data[at], axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return at[first], which.ravel(), counts
+
+
+def solve_duals(x: np.ndarray, counts: np.ndarray, means: np.ndarray, alpha: float) -> np.ndarray:
+    """Duals (models, tuples) of centred mean targets (models, tuples)."""
+    root = np.sqrt(counts)
+    system = rbf(x, x) * np.outer(root, root)
+    system[np.diag_indices_from(system)] += alpha
+    return (root[:, None] * np.linalg.solve(system, root[:, None] * means.T)).T
 
 
 def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[str], sets: list[str],
         chosen: DataFrame | None) -> Fitted:
-    tagged = tag_days(x, sets)
-    tuples = tuple_table(tagged, sets)
-    shared = x.sparkSession.sparkContext.broadcast(_decompose(tuples, sets))
-    means = (y.join(tagged.select(*sets, "day", "tuple_id"), [*sets, "day"])
-             .groupBy(*units, "step", "tuple_id").agg(F.avg("y").alias("m"), F.count("y").alias("n")))
-    cells = F.array_sort(F.collect_list(F.struct("tuple_id", "m", "n")))
-    vectors = means.where("n > 0").groupBy(*units, "step").agg(cells.alias("c")).select(
-        *units, "step", F.col("c.tuple_id").alias("ids"), F.col("c.m").alias("ms"), F.col("c.n").alias("ns"))
-    vectors = expand_params(vectors, grid, units, chosen)
-
-    @F.pandas_udf("struct<dual array<double>, centre double>")
-    def solve(ids: pd.Series, ms: pd.Series, ns: pd.Series, param: pd.Series, key: pd.Series) -> pd.DataFrame:
-        duals, centres = [], []
-        for own, m, n, p, k in zip(ids, ms, ns, param, key):
-            d, p = shared.value[tuple(int(v) for v in k)], grid[int(p)]
-            own, m, n = np.asarray(own), np.asarray(m, dtype=float), np.asarray(n, dtype=float)
-            root, alpha = np.sqrt(n), p.get("alpha", 1e-10)
-            centre = float((m * n).sum() / n.sum()) if p.get("normalize_y", False) else 0.0
-            if np.array_equal(n, d["n"]):
-                inner = d["vectors"].T @ (root * (m - centre)) / (d["values"] + alpha)
-                dual = root * (d["vectors"] @ inner)
-            else:  # a series with missing days has its own counts, so no shared decomposition
-                x = d["x"][own]
-                k_own = rbf(x, x) * np.outer(root, root)
-                dual = np.zeros(len(d["n"]))
-                dual[own] = root * np.linalg.solve(k_own + alpha * np.eye(len(own)), root * (m - centre))
-            duals.append(dual)
-            centres.append(centre)
-        return pd.DataFrame({"dual": duals, "centre": centres})
-
-    table = vectors.withColumn("s", solve("ids", "ms", "ns", "param_idx", set_key(sets))).select(
-        *units, "param_idx", "step", "s.dual", "s.centre")
-    basis = tuples.select(*[F.col(s).cast("int").alias(s) for s in sets], F.col("tuple_id").alias("idx"), "x")
-    return Fitted(choice, {"model": table, "basis": basis}, grid, units, sets)
+    check_params(choice, grid, _USED, _WITHOUT_EFFECT)
+    n, _ = shape(x, sets)
+    vectors = with_params(target_vectors(on_days(y, x, sets), units), grid, units, chosen)
+    used = 1 if chosen is not None else len(grid)
+
+    def solve(days: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        place, data = matrix(days)
+        out = []
+        for rows, at, ys in alike(block, place):
+            first, which, counts = tuples_of(data, at)
+            sums = np.zeros((len(rows), len(first)))
+            np.add.at(sums.T, which, ys.T)
+            for i, members in by_param(block, rows):
+                centre = ys[members].mean(1) if grid[i].get("normalize_y", False) else np.zeros(len(members))
+                duals = solve_duals(data[first], counts, sums[members] / counts - centre[:, None], grid[i].get("alpha", 1e-10))
+                out.append(block.iloc[rows[members]][[*units, "step"]].assign(param_idx=i, days=[place[first]] * len(members), dual=list(duals), centre=centre))
+        return pd.concat(out)[[*units, "param_idx", "step", "days", "dual", "centre"]]
+
+    schema = f"{unit_schema(y, units)}, param_idx int, step int, days array<int>, dual array<double>, centre double"
+    table = in_blocks(day_rows(x, sets), vectors, sets, [*units, "step"], count_models(y, n), n * (used + 1), solve, schema)
+    return Fitted(choice, {"model": table, "basis": day_rows(x, sets)}, grid, units, sets)
 
 
 def predict(fitted: Fitted, x_new: DataFrame) -> DataFrame:
-    return predict_with_kernel(fitted, x_new, lambda a, b, params: rbf(a, b), per_params=False)
+    return predict_with_kernel(fitted, x_new, lambda a, b, params: rbf(a, b))
 
 
-def predict_with_kernel(fitted: Fitted, x_new: DataFrame, kernel, per_params: bool = True) -> DataFrame:
-    """One batched product of kernel rows and dual coefficients gives all days of a model at once.
+def predict_with_kernel(fitted: Fitted, x_new: DataFrame, kernel) -> DataFrame:
+    """Kernel rows of the new days times duals, block by block; ``days`` of a model name its rows of the basis.
 
-    Basis and new days are calendar-sized; the kernel between them is computed on the executors, once per batch.
+    Models of a block with the same basis days and parameters share one kernel.
     """
-    sets, grid = fitted.sets, fitted.grid
-    spark = x_new.sparkSession
-    size = fitted.tables["basis"].agg(F.sum(F.size("x")).alias("n")).first()["n"] or 0
-    if size > MAX_CELLS:
-        raise ValueError(f"basis has {size} cells, more than {MAX_CELLS}")
-    basis = {key: np.array(part["x"].tolist(), dtype=float)
-             for key, part in by_set(fitted.tables["basis"].toPandas().sort_values("idx"), sets)}
-    new = design(x_new, sets)
-    shared = spark.sparkContext.broadcast({k: (d["x"], basis[k]) for k, d in new.items() if k in basis})
-
-    @F.pandas_udf("array<double>")
-    def evaluate(dual: pd.Series, centre: pd.Series, param: pd.Series, key: pd.Series) -> pd.Series:
-        kernels: dict = {}
+    units, sets, grid = fitted.units, fitted.sets, fitted.grid
+    model, basis = fitted.tables["model"], fitted.tables["basis"]
+    both = basis.unionByName(day_rows(x_new, sets, 1))
+    n, _ = shape(x_new, sets)
+
+    def multiply(days: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        place, data = matrix(days, 0)
+        asked, new = matrix(days, 1)
         out = []
-        for d, c, p, k in zip(dual, centre, param, key):
-            k, p = tuple(int(v) for v in k), int(p)
-            place = (k, p if per_params else 0)
-            if place not in kernels:
-                kernels[place] = kernel(*shared.value[k], grid[p])
-            out.append(kernels[place] @ np.asarray(d, dtype=float) + c)
-        return pd.Series(out)
-
-    rows = [(*k, i, int(d)) for k, data in new.items() for i, d in enumerate(data["days"])]
-    labels = spark.createDataFrame(rows, ", ".join([f"{s} int" for s in sets] + ["place int", "d int"]))
-    model = fitted.tables["model"].withColumn("p", evaluate("dual", "centre", "param_idx", set_key(sets)))
-    flat = model.select(*fitted.units, "param_idx", "step", F.posexplode("p").alias("place", "pred"))
-    return flat.join(labels, [*sets, "place"]).select(
-        *fitted.units, "param_idx", F.date_from_unix_date("d").alias("day"), "step", "pred")
+        groups = block.groupby([block["days"].map(lambda d: np.asarray(d, np.int64).tobytes()), "param_idx"]).indices
+        for (key, i), rows in groups.items():
+            k = kernel(new, data[np.searchsorted(place, np.frombuffer(key, np.int64))], grid[int(i)])
+            values = np.array(block["dual"].iloc[rows].tolist(), dtype=float) @ k.T + block["centre"].to_numpy()[rows][:, None]
+            out.append(long_rows(block.iloc[rows][[*units, "param_idx", "step"]], asked, values))
+        return pd.concat(out)
+
+    schema = f"{unit_schema(model, [*units, 'param_idx', 'step'])}, d int, pred double"
+    out = in_blocks(both, model, sets, [*units, "step", "param_idx"], model.count(), 2 * n, multiply, schema)
+    return out.select(*units, "param_idx", F.date_from_unix_date("d").alias("day"), "step", "pred")

@@ -1,9 +1,7 @@
 """Least squares and elastic net for every series and step at once.
 
-The features of a day are the same for all series, so the day matrix is calendar-sized and sent to the executors once,
-after its size is checked. Spark shuffles each target once, into one vector per model, and the small systems are solved
-in Arrow batches on the executors. A day matrix beyond the bound is never gathered: Spark then reduces it to its Gram
-matrix and the targets to their products with the features.
+Models are solved in blocks against the day matrix of their set (:mod:`.arrays`), all models of a block with the same
+days and parameters together. Both solvers work on the matrix itself, so one solver serves narrow and wide data alike.
 """
 
 from __future__ import annotations
@@ -12,99 +10,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import MAX_CELLS, by_set, design, matrix_cells, on_days, set_key, target_vectors
-from .base import Fitted, expand_params
+from .arrays import (alike, by_param, check_params, count_models, day_rows, in_blocks, long_rows, matrix, on_days, shape, target_vectors,
+                     unit_schema, with_params)
+from .base import Fitted
 
-MAX_GRAM = 8_000_000  # numbers in all Gram matrices together: 64 MB
+# Parameters, and those that change nothing here with the values they may have.
+_USED = {"lr": {"fit_intercept", "normalize"},
+         "en": {"alpha", "l1_ratio", "fit_intercept", "normalize", "positive", "max_iter", "tol"}}
+_WITHOUT_EFFECT = {"lr": {"n_jobs": None, "copy_X": None},
+                   "en": {"precompute": None, "copy_X": None, "warm_start": (False,), "random_state": None, "selection": None}}
 
 
-def gram_table(x: DataFrame, sets: list[str]) -> DataFrame:
-    """(sets, i, j, g): sums of products of the day vectors, extended by a leading 1.
+def least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients (p, models) of targets (n, models); the shortest solution if features are dependent."""
+    return np.linalg.lstsq(x, y, rcond=None)[0]
 
-    Every task reduces its own rows to one matrix per set, so only p*p numbers per task and set are shuffled.
-    """
-    n_sets = len(sets)
-
-    def partial(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for key, part in (pdf.groupby(sets) if n_sets else [((), pdf)]):
-                key = key if isinstance(key, tuple) else (key,)
-                a = np.array(part["x"].tolist(), dtype=float)
-                a = np.column_stack([np.ones(len(a)), a])
-                sums[key] = sums.get(key, 0) + a.T @ a
-        for key, g in sums.items():
-            i, j = np.nonzero(g)  # one-hot features leave most products zero
-            yield pd.DataFrame({**{s: k for s, k in zip(sets, key)}, "i": i, "j": j, "g": g[i, j]})
-
-    schema = ", ".join([f"{s} int" for s in sets] + ["i int", "j int", "g double"])
-    typed = x.select(*[F.col(s).cast("int").alias(s) for s in sets], "x")
-    return typed.mapInPandas(partial, schema).groupBy(*sets, "i", "j").agg(F.sum("g").alias("g"))
-
-
-def moment_table(x: DataFrame, y: DataFrame, units: list[str], sets: list[str]) -> DataFrame:
-    """(units, step, m): per model the sums of target times (1, features), as one array.
 
-    The non-zero features of a day are joined to its targets and summed in long form, map-side first.
-    """
-    cells = F.filter(
-        F.transform(F.concat(F.array(F.lit(1.0)), F.col("x")), lambda v, j: F.struct(j.alias("j"), v.alias("v"))),
-        lambda c: c["v"] != 0)
-    sparse = x.select(*sets, "day", F.explode(cells).alias("c")).select(*sets, "day", "c.j", "c.v")
-    sums = y.join(sparse, [*sets, "day"]).groupBy(*units, "step", "j").agg(F.sum(F.col("v") * F.col("y")).alias("s"))
-    entries = F.map_from_entries(F.collect_list(F.struct("j", "s")))
-    return sums.groupBy(*units, "step").agg(entries.alias("m"))
-
-
-def collect_gram(x: DataFrame, sets: list[str]) -> dict[tuple, np.ndarray]:
-    """Gram matrices as driver state: (p+1) squared numbers per set, bounded beforehand."""
-    p = x.agg(F.max(F.size("x"))).first()[0] or 0
-    n_sets = x.select(*sets).distinct().count() if sets else 1
-    if n_sets * (p + 1) ** 2 > MAX_GRAM:
-        raise ValueError(f"{p} features in {n_sets} sets are too many; drop constant features first")
-    out: dict[tuple, np.ndarray] = {}
-    for key, part in by_set(gram_table(x, sets).toPandas(), sets):
-        g = np.zeros((p + 1, p + 1))
-        g[part["i"], part["j"]] = part["g"]
-        out[key] = g
-    return out
-
-
-def least_squares(gram: np.ndarray, moments: np.ndarray, intercept: bool = True) -> np.ndarray:
-    """Coefficients (intercept first) for a batch of targets; the shortest solution if features are dependent."""
-    if not intercept:
-        w = np.linalg.pinv(gram[1:, 1:], rcond=1e-12, hermitian=True) @ moments[:, 1:].T
-        return np.column_stack([np.zeros(w.shape[1]), w.T])
-    n, sx = gram[0, 0], gram[0, 1:]
-    centred = gram[1:, 1:] - np.outer(sx, sx) / n
-    cross = moments[:, 1:].T - np.outer(sx / n, moments[:, 0])
-    w = np.linalg.pinv(centred, rcond=1e-12, hermitian=True) @ cross
-    return np.column_stack([moments[:, 0] / n - (sx / n) @ w, w.T])
-
-
-def elastic_net(gram: np.ndarray, moments: np.ndarray, alpha: float = 1.0, l1_ratio: float = 0.5,
-                fit_intercept: bool = True, normalize: bool = False, positive: bool = False, max_iter: int = 1000,
-                tol: float = 1e-4, **_) -> np.ndarray:
-    """Cyclic coordinate descent on the moments, for a whole batch of targets at once.
-
-    Minimises |y - Xw|^2 / 2n + alpha * l1_ratio * |w|_1 + alpha * (1 - l1_ratio) * |w|^2 / 2. ``normalize`` centres
-    the columns and divides them by their length before solving.
-    """
-    n, sx = gram[0, 0], gram[0, 1:]
-    if fit_intercept:
-        a = gram[1:, 1:] - np.outer(sx, sx) / n
-        b = moments[:, 1:].T - np.outer(sx / n, moments[:, 0])
-    else:
-        a, b = gram[1:, 1:].copy(), moments[:, 1:].T.copy()
-    diag = np.diag(a).copy()
-    diag[diag < 1e-12 * max(1.0, diag.max(initial=0.0))] = 0.0
-    width = np.where(diag > 0, np.sqrt(diag), 1.0) if normalize and fit_intercept else np.ones(len(diag))
-    a, b, diag = a / np.outer(width, width), b / width[:, None], diag / width ** 2
-    l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
-    w = np.zeros_like(b)
-    for _ in range(max_iter):
+def _descend(a: np.ndarray, b: np.ndarray, w: np.ndarray, l1: float, l2: float, positive: bool, sweeps: int, tol: float) -> None:
+    """Cyclic coordinate descent on w for w'aw / 2 - b'w + l1 |w|_1 + l2 |w|^2 / 2, in place, for all columns of b."""
+    diag = np.diag(a)
+    for _ in range(sweeps):
         moved = 0.0
-        for j in np.flatnonzero(diag > 0):
+        for j in range(len(a)):
             rho = b[j] - a[j] @ w + diag[j] * w[j]
             new = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0) / (diag[j] + l2)
             if positive:
@@ -112,130 +39,106 @@ def elastic_net(gram: np.ndarray, moments: np.ndarray, alpha: float = 1.0, l1_ra
             moved = max(moved, np.abs(new - w[j]).max())
             w[j] = new
         if moved <= tol * 1e-4 * max(np.abs(w).max(initial=0.0), 1e-12):
-            break
-    w = w / width[:, None]
-    first = moments[:, 0] / n - (sx / n) @ w if fit_intercept else np.zeros(w.shape[1])
-    return np.column_stack([first, w.T])
-
+            return
 
-def gram(x: np.ndarray) -> np.ndarray:
-    a = np.column_stack([np.ones(len(x)), x])
-    return a.T @ a
 
+def duality_gap(x: np.ndarray, y: np.ndarray, w: np.ndarray, l1: float, l2: float, positive: bool = False) -> np.ndarray:
+    """How far each model's objective is from its least value at most."""
+    r = y - x @ w
+    slope = x.T @ r - l2 * w
+    steepest = (slope if positive else np.abs(slope)).max(0, initial=0.0)
+    rr, ww = (r * r).sum(0), (w * w).sum(0)
+    c = np.where(steepest > l1, l1 / np.maximum(steepest, 1e-300), 1.0)
+    return 0.5 * rr * (1 + c * c) + l1 * np.abs(w).sum(0) - c * (r * y).sum(0) + 0.5 * l2 * (1 + c * c) * ww
 
-def solve_batch(choice: str, g: np.ndarray, moments: np.ndarray, params: dict) -> np.ndarray:
-    if choice == "lr":
-        return least_squares(g, moments, params.get("fit_intercept", True))
-    return elastic_net(g, moments, **params)
 
+def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, l1_ratio: float = 0.5, positive: bool = False,
+                max_iter: int = 1000, tol: float = 1e-4) -> np.ndarray:
+    """Coefficients (p, models) that minimise |y - Xw|^2 / 2n + alpha l1_ratio |w|_1 + alpha (1 - l1_ratio) |w|^2 / 2.
 
-def solve_wide(choice: str, x: np.ndarray, ys: np.ndarray, params: dict) -> np.ndarray:
-    """The same solutions from the day matrix itself, for more features than a Gram matrix could hold."""
-    intercept = params.get("fit_intercept", True)
-    mx, my = (x.mean(0), ys.mean(1)) if intercept else (np.zeros(x.shape[1]), np.zeros(len(ys)))
-    xc, yc = x - mx, (ys - my[:, None]).T
-    if choice == "lr":
-        w = np.linalg.lstsq(xc, yc, rcond=None)[0]
-    else:
-        w = _descend_wide(xc, yc, **params)
-    return np.column_stack([my - mx @ w, w.T])
-
-
-def _descend_wide(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, l1_ratio: float = 0.5, normalize: bool = False,
-                  positive: bool = False, max_iter: int = 1000, tol: float = 1e-4, **_) -> np.ndarray:
-    n = len(x)
-    length = np.sqrt((x * x).sum(0))
-    width = np.where(length > 0, length, 1.0) if normalize else np.ones(x.shape[1])
-    x, diag = x / width, (length / width) ** 2
+    Descent runs on a working set: features whose slope exceeds the absolute penalty enter, the steepest first, for all
+    models of the batch; the others are zero by their slopes. It ends when none is left to enter, or when every model's
+    duality gap is below a thousandth of ``tol`` times its squared targets. Without an absolute penalty the solution is
+    closed.
+    """
+    n, p = x.shape
     l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
-    w, rest = np.zeros((x.shape[1], y.shape[1])), y.copy()
-    for _ in range(max_iter):
-        moved = 0.0
-        for j in np.flatnonzero(diag > 1e-12 * max(1.0, diag.max(initial=0.0))):
-            rho = x[:, j] @ rest + diag[j] * w[j]
-            new = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0) / (diag[j] + l2)
-            new = np.maximum(new, 0.0) if positive else new
-            step = new - w[j]
-            if step.any():
-                rest -= np.outer(x[:, j], step)
-                moved = max(moved, np.abs(step).max())
-            w[j] = new
-        if moved <= tol * 1e-4 * max(np.abs(w).max(initial=0.0), 1e-12):
-            break
-    return w / width[:, None]
+    if l1 == 0 and not positive:
+        if l2 == 0:
+            return least_squares(x, y)
+        # (X'X + l2)^-1 X' = X' (XX' + l2)^-1: the smaller of the two systems
+        return np.linalg.solve(x.T @ x + l2 * np.eye(p), x.T @ y) if p <= n else x.T @ np.linalg.solve(x @ x.T + l2 * np.eye(n), y)
+    squares = (x * x).sum(0)
+    usable = squares > 1e-12 * max(1.0, squares.max(initial=0.0))
+    w = np.zeros((p, y.shape[1]))
+    slopes = x.T @ y
+    working = np.zeros(p, bool)
+    goal = 1e-3 * tol * (y * y).sum(0)
+    while True:
+        above = (slopes if positive else np.abs(slopes)).max(1, initial=-np.inf)
+        enter = usable & ~working & (above > l1 * (1 + 1e-9))
+        if not enter.any() or working.any() and (duality_gap(x, y, w, l1, l2, positive) <= goal).all():
+            return w
+        # as many as are in already, the steepest first, but never fewer than 64
+        most = max(64, int(working.sum()))
+        steep = np.flatnonzero(enter)
+        working[steep[np.argsort(-above[steep], kind="stable")[:most]]] = True
+        at = np.flatnonzero(working)
+        part = x[:, at]
+        own = w[at]
+        _descend(part.T @ part, part.T @ y, own, l1, l2, positive, max_iter, tol)
+        w[at] = own
+        slopes = x.T @ (y - part @ own) - l2 * w
+
+
+def solve_batch(choice: str, x: np.ndarray, y: np.ndarray, fit_intercept: bool = True, normalize: bool = False, **params) -> np.ndarray:
+    """(models, 1 + p) with the intercept first; x (n, p), y (models, n). ``normalize`` counts with an intercept only."""
+    mx, my = (x.mean(0), y.mean(1)) if fit_intercept else (np.zeros(x.shape[1]), np.zeros(len(y)))
+    xc, yc = x - mx, (y - my[:, None]).T
+    width = np.ones(x.shape[1])
+    if normalize and fit_intercept:
+        length = np.sqrt((xc * xc).sum(0))
+        width = np.where(length > 1e-12 * max(1.0, length.max(initial=0.0)), length, 1.0)
+        xc = xc / width
+    w = (least_squares(xc, yc) if choice == "lr" else elastic_net(xc, yc, **params)) / width[:, None]
+    return np.column_stack([my - mx @ w, w.T])
 
 
 def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[str], sets: list[str],
         chosen: DataFrame | None) -> Fitted:
-    y = on_days(y, x, sets)
-    small = matrix_cells(x) <= MAX_CELLS
-    table = (_fit_vectors if small else _fit_moments)(choice, x, y, grid, units, sets, chosen)
-    return Fitted(choice, {"model": table.select(*units, "param_idx", "step", "coef")}, grid, units, sets)
-
-
-def _fit_vectors(choice, x, y, grid, units, sets, chosen) -> DataFrame:
-    data = design(x, sets)
-    if sum((d["x"].shape[1] + 1) ** 2 for d in data.values()) <= MAX_GRAM:
-        data = {k: {**d, "gram": gram(d["x"])} for k, d in data.items()}
-    shared = x.sparkSession.sparkContext.broadcast(data)
-    vectors = expand_params(target_vectors(y, units), grid, units, chosen)
-
-    def solve_many(x: np.ndarray, g: np.ndarray | None, ys: np.ndarray, params: dict) -> np.ndarray:
-        if g is None:
-            return solve_wide(choice, x, ys, params)
-        return solve_batch(choice, g, np.column_stack([ys.sum(1), ys @ x]), params)
-
-    @F.pandas_udf("array<double>")
-    def solve(days: pd.Series, ys: pd.Series, param: pd.Series, key: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(ys), index=ys.index, dtype=object)
-        full: dict[tuple, list] = {}
-        for r, own, k, p in zip(ys.index, days, key, param):
-            k, p = tuple(int(v) for v in k), int(p)
-            d = shared.value[k]
-            if len(own) == len(d["days"]) and np.array_equal(own, d["days"]):
-                full.setdefault((k, p), []).append(r)
-                continue
-            part = d["x"][np.searchsorted(d["days"], own)]  # a model with fewer days is solved on those days
-            g = gram(part) if "gram" in d else None
-            out.loc[r] = solve_many(part, g, np.asarray(ys.loc[r], dtype=float)[None, :], grid[p])[0]
-        for (k, p), rows in full.items():
-            d = shared.value[k]
-            for r, w in zip(rows, solve_many(d["x"], d.get("gram"), np.array(ys.loc[rows].tolist(), dtype=float), grid[p])):
-                out.loc[r] = w
-        return out
-
-    return vectors.withColumn("coef", solve("days", "ys", "param_idx", set_key(sets)))
-
-
-def _fit_moments(choice, x, y, grid, units, sets, chosen) -> DataFrame:
-    shared = x.sparkSession.sparkContext.broadcast(collect_gram(x, sets))
-    moments = expand_params(moment_table(x, y, units, sets), grid, units, chosen)
-
-    @F.pandas_udf("array<double>")
-    def solve(m: pd.Series, param: pd.Series, key: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(m), index=m.index, dtype=object)
-        keys = key.map(lambda k: tuple(int(v) for v in k))
-        for (k, p), rows in m.groupby([keys, param]).groups.items():
-            g = shared.value[k]
-            dense = np.zeros((len(rows), len(g)))
-            for r, entries in enumerate(m.loc[rows]):
-                for j, s in (entries.items() if isinstance(entries, dict) else entries):
-                    dense[r, j] = s
-            for r, w in zip(rows, solve_batch(choice, g, dense, grid[int(p)])):
-                out.loc[r] = w
-        return out
-
-    return moments.withColumn("coef", solve("m", "param_idx", set_key(sets)))
+    check_params(choice, grid, _USED[choice], _WITHOUT_EFFECT[choice])
+    plain = [{k: v for k, v in p.items() if k in _USED[choice]} for p in grid]
+    days = day_rows(x, sets)
+    n, p = shape(x, sets)
+    vectors = with_params(target_vectors(on_days(y, x, sets), units), grid, units, chosen)
+    used = 1 if chosen is not None else len(grid)
+
+    def solve(days: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        place, data = matrix(days)
+        out = []
+        for rows, at, ys in alike(block, place):
+            own = data[at]
+            for i, members in by_param(block, rows):
+                coefs = solve_batch(choice, own, ys[members], **plain[i])
+                out.append(block.iloc[rows[members]][[*units, "step"]].assign(param_idx=i, coef=list(coefs)))
+        return pd.concat(out)[[*units, "param_idx", "step", "coef"]]
+
+    schema = f"{unit_schema(y, units)}, param_idx int, step int, coef array<double>"
+    table = in_blocks(days, vectors, sets, [*units, "step"], count_models(y, n), max(n, used * (p + 1)), solve, schema)
+    return Fitted(choice, {"model": table}, grid, units, sets)
 
 
 def predict(fitted: Fitted, x_new: DataFrame) -> DataFrame:
-    """Model rows meet the days in one join; the dot product stays in the JVM."""
-    model, sets = fitted.tables["model"], fitted.sets
-    days = x_new.select(*sets, "day", F.concat(F.array(F.lit(1.0)), F.col("x")).alias("x"))
-    if sets:
-        pairs = model.join(days, sets)
-    else:
-        every_day = days.agg(F.collect_list(F.struct("day", "x")).alias("d")).scalar()
-        pairs = model.withColumn("d", F.explode(every_day)).select(*model.columns, "d.day", "d.x")
-    dot = F.aggregate(F.zip_with("coef", "x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return pairs.select(*fitted.units, "param_idx", "day", "step", dot.alias("pred"))
+    """Blocks of models times the matrix of the new days."""
+    units = fitted.units
+    model = fitted.tables["model"]
+    n, p = shape(x_new, fitted.sets)
+
+    def multiply(days: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        place, data = matrix(days)
+        coefs = np.array(block["coef"].tolist(), dtype=float)
+        return long_rows(block[[*units, "param_idx", "step"]], place, coefs[:, :1] + coefs[:, 1:] @ data.T)
+
+    schema = f"{unit_schema(model, [*units, 'param_idx', 'step'])}, d int, pred double"
+    out = in_blocks(day_rows(x_new, fitted.sets), model, fitted.sets, [*units, "step", "param_idx"], model.count(), n + p, multiply, schema)
+    return out.select(*units, "param_idx", F.date_from_unix_date("d").alias("day"), "step", "pred")

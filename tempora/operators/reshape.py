@@ -90,10 +90,18 @@ def day_matrix_long(frame: DataFrame, step_features: Sequence[str], day_features
     return frame.select("day", F.explode(cells).alias("c")).select("day", "c.idx", "c.value")
 
 
-def day_vectors(x_long: DataFrame) -> DataFrame:
-    """(day, idx, value) -> (day, x ARRAY<DOUBLE>) ordered by idx. A group has one entry per feature."""
-    cells = F.array_sort(F.collect_list(F.struct("idx", "value")))
-    return x_long.groupBy("day").agg(F.transform(cells, lambda c: c["value"]).alias("x"))
+def day_vectors(x_long: DataFrame, fill: float | None = None) -> DataFrame:
+    """(day, idx, value) -> (day, x ARRAY<DOUBLE>) ordered by idx, one entry for every idx of the table.
+
+    A day without a cell gets ``fill`` in its place, NULL if none is given; estimators leave days with a NULL out. A
+    group has one entry per feature.
+    """
+    every = x_long.agg(F.collect_set("idx").alias("i")).scalar()
+    own = x_long.groupBy("day").agg(F.collect_list(F.struct("idx", "value")).alias("c")).withColumn("every", every)
+    missing = F.array_except("every", F.transform("c", lambda c: c["idx"]))
+    blank = F.lit(fill).cast("double")
+    full = F.array_sort(F.concat("c", F.transform(missing, lambda i: F.struct(i.alias("idx"), blank.alias("value")))))
+    return own.select("day", F.transform(full, lambda c: c["value"]).alias("x"))
 
 
 def day_time_pivot(df: DataFrame, day_step_features: Sequence[str], midnight_features: Sequence[str],

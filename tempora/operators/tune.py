@@ -36,9 +36,6 @@ def grid_search(choice: str, x: DataFrame, y: DataFrame, grid: dict | Sequence[d
     x_train = x.join(trains, "day").select("fold", "day", "x")
     y_train = y.join(trains, "day").select("series_id", "fold", "day", "step", "y")
     fitted = models.fit(choice, x_train, y_train, combos, units, ["fold"])
-    for name in ("model", "level"):
-        if name in fitted.tables:
-            fitted.tables[name] = materialize(fitted.tables[name], name)
 
     own = folds.withColumnRenamed("fold", "own_fold")
     asked = x.join(own, "day")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from ..session import materialize
+
 
 def with_position(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", chunk: Column | None = None) -> DataFrame:
     """Add ``_pos`` (0-based place of the row in its series) and ``_rows`` (length of the series).
@@ -74,6 +76,18 @@ def appearance_code(df: DataFrame, column: str, ts: str = "ts", target: str = "c
     return df.join(appearance_codes(df, column, ts, target), column)
 
 
+def place_in_order(df: DataFrame, columns: Sequence[str], target: str = "place") -> DataFrame:
+    """Append the place 1..n of each row in the order of ``columns``, without one task that holds all rows.
+
+    Rows are range-partitioned and written; a slot's first place is the number of rows in the slots before it.
+    """
+    sorted_ = materialize(df.repartitionByRange(*columns).withColumn("_slot", F.spark_partition_id()), "ordered")
+    counts = sorted_.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))  # one row per slot
+    before = counts.select("_slot", (F.sum("_n").over(W.orderBy("_slot")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_slot").orderBy(*columns))
+    return sorted_.withColumn("_row", within).join(before, "_slot").withColumn(target, F.col("_row") + F.col("_before")).drop("_slot", "_row", "_before")
+
+
 def ordinal_index(df: DataFrame, column: str, order: Sequence[str], target: str = "__index__") -> DataFrame:
     """Position of each value in a given list."""
     names = F.array(*[F.lit(v) for v in order])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempora.operators import models
 from tempora.operators.models import ha, linear, svr
 from tempora.operators.models.gp import rbf
+from tempora.operators.models.trees import feature_importances
 from tempora.operators.tune import best_params, grid_search, param_combinations, params_table
 
 DAY0 = date(2017, 1, 1)
@@ -87,17 +88,67 @@ def test_least_squares_with_dependent_features(spark):
     assert np.allclose(tensor(models.predict(models.fit("lr", xs, ys), xs, floor=False), 30, 1)["s"], y["s"], atol=1e-6)
 
 
-@pytest.mark.parametrize("choice, params", [("lr", {}), ("lr", {"fit_intercept": False}), ("en", {"alpha": 0.05, "tol": 1e-8}),
-                                            ("en", {"alpha": 0.01, "tol": 1e-8, "normalize": True})])
-def test_linear_paths_agree(data, monkeypatch, choice, params):
-    _, _, xs, yt = data
-    coefs = []
-    for limit, in_gram in ((10 ** 9, 10 ** 9), (0, 10 ** 9), (10 ** 9, 0)):
-        monkeypatch.setattr(linear, "MAX_CELLS", limit)
-        monkeypatch.setattr(linear, "MAX_GRAM", in_gram)
-        rows = models.fit(choice, xs, yt, params).tables["model"].orderBy("series_id", "step").collect()
-        coefs.append(np.array([r.coef for r in rows]))
-    assert np.allclose(coefs[0], coefs[1], atol=1e-7) and np.allclose(coefs[0], coefs[2], atol=1e-7)
+def objective(x, y, coef, alpha, ratio, fit_intercept, normalize):
+    """The penalised error of a solution, in the columns that the solver saw."""
+    width = np.linalg.norm(x - x.mean(0), axis=0) if normalize and fit_intercept else np.ones(x.shape[1])
+    w = coef[1:] * width
+    r = y - coef[0] - x @ coef[1:]
+    return r @ r / 2 / len(y) + alpha * ratio * np.abs(w).sum() + alpha * (1 - ratio) * w @ w / 2
+
+
+@pytest.mark.parametrize("n, p", [(60, 3), (25, 90)])
+@pytest.mark.parametrize("intercept", [True, False])
+@pytest.mark.parametrize("normalize", [True, False])
+def test_elastic_net_is_one_solver_for_all_widths(n, p, intercept, normalize):
+    """Against proximal steps, and by its own duality gap."""
+    rng = np.random.default_rng(p)
+    x = rng.normal(size=(n, p)) * rng.uniform(0.5, 3, p) + 1
+    y = x[:, :3] @ np.array([[1.0, -2], [0.5, 0], [0, 3]]) + rng.normal(size=(n, 2)) + 4
+    alpha, ratio = (0.02, 0.5) if normalize and intercept else (0.3, 0.5)
+    got = linear.solve_batch("en", x, y.T, intercept, normalize, alpha=alpha, l1_ratio=ratio, tol=1e-9, max_iter=20_000)
+    mx, my = (x.mean(0), y.mean(0)) if intercept else (np.zeros(p), np.zeros(2))
+    c = x - mx
+    width = np.linalg.norm(c, axis=0) if normalize and intercept else np.ones(p)
+    z = c / width
+    step, w = 1 / (np.linalg.norm(z, 2) ** 2 / n + alpha * (1 - ratio)), np.zeros((p, 2))
+    for _ in range(60_000):
+        w = w - step * (z.T @ (z @ w - (y - my)) / n + alpha * (1 - ratio) * w)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * alpha * ratio, 0)
+    for k in range(2):
+        best = objective(x, y[:, k], np.r_[my[k] - mx @ (w[:, k] / width), w[:, k] / width], alpha, ratio, intercept, normalize)
+        assert objective(x, y[:, k], got[k], alpha, ratio, intercept, normalize) <= best * (1 + 1e-7) + 1e-9
+    own = (got[:, 1:] * width).T
+    assert (linear.duality_gap(z, y - my, own, alpha * ratio * n, alpha * (1 - ratio) * n) <= 1e-6 * ((y - my) ** 2).sum(0)).all()
+
+
+def test_ridge_is_closed_on_both_sides():
+    rng = np.random.default_rng(3)
+    for n, p in ((40, 6), (12, 50)):
+        x, y = rng.normal(size=(n, p)), rng.normal(size=(n, 3))
+        got = linear.elastic_net(x, y, alpha=0.2, l1_ratio=0)
+        assert np.allclose(got, np.linalg.solve(x.T @ x + 0.2 * n * np.eye(p), x.T @ y))
+
+
+def test_wide_days_search_and_predict(spark):
+    """The width of the widest workload, with folds: no size is refused and least squares meets the training days."""
+    rng = np.random.default_rng(11)
+    n, p = 731, 7_977
+    flags = rng.random((n, p)) < 0.01
+    days = spark.createDataFrame([(DAY0 + timedelta(days=i), np.flatnonzero(row).tolist()) for i, row in enumerate(flags)], "day date, on array<int>")
+    idx = F.sequence(F.lit(0), F.lit(p - 1))
+    xs = days.select("day", F.transform(idx, lambda j: F.array_contains("on", j).cast("double")).alias("x"))
+    xs = models_store(xs)
+    y = flags[:, :5] @ np.array([4.0, -3, 2, 5, 1]) + 10
+    _, ys = make(spark, [[0.0]] * n, {"s": [[v] for v in y]})
+    fitted = models.fit("lr", xs, ys)
+    assert np.allclose(tensor(models.predict(fitted, xs), n, 1)["s"][:, 0], y, atol=1e-6)
+    cv = grid_search("en", xs, ys, [{"alpha": 0.01, "l1_ratio": 1.0}], n_splits=5, train_score=False).collect()
+    assert len(cv) == 5 and min(r.score for r in cv) > 0.5
+
+
+def models_store(df):
+    from tempora.session import materialize
+    return materialize(df, "x")
 
 
 def test_series_with_fewer_days_gets_its_own_solution(data):
@@ -161,7 +212,7 @@ def test_support_vectors_meet_their_conditions(spark):
     y = np.sin(x[:, 0]) * 3 + x[:, 1] + rng.normal(0, 0.2, 90)
     for params in ({"kernel": "rbf", "gamma": 0.7}, {"kernel": "linear"}):
         k = svr.kernel_matrix(x, x, params)
-        beta, b = svr.solve_dual(k, y, c=2.0, epsilon=0.1, tol=1e-5)
+        beta, b, _ = svr.solve_dual(k, y, c=2.0, epsilon=0.1, tol=1e-5)
         f = k @ beta + b
         assert abs(beta.sum()) < 1e-9 and np.abs(beta).max() <= 2.0 + 1e-12
         r = y - f
@@ -230,7 +281,7 @@ def test_grid_search_scores(data, choice):
     def solve_svr(a, b, new):
         p = {"gamma": 0.5}
         cols = [svr.solve_dual(svr.kernel_matrix(a, a, p), b[:, j], 1.0, 0.1) for j in range(b.shape[1])]
-        return np.column_stack([svr.kernel_matrix(new, a, p) @ beta + off for beta, off in cols])
+        return np.column_stack([svr.kernel_matrix(new, a, p) @ beta + off for beta, off, _ in cols])
 
     grid = {"lr": [{}], "gp": [{"alpha": 5.0}, {"alpha": 0.3}], "svr": [{"gamma": 0.5}]}[choice]
     solve = {"lr": solve_lr, "gp": solve_gp, "svr": solve_svr}[choice]
@@ -288,11 +339,95 @@ def test_process_counts_each_series_own_days(spark):
     assert np.allclose(got, want)
 
 
-def test_trees_serve_opposite_series_and_all_steps(spark, tmp_path):
+def test_trees_serve_opposite_series_and_all_steps(spark):
     xs, ys = make(spark, [[float(i % 2)] for i in range(20)], {"s": [[10.0, 0.0]] * 20, "t": [[0.0, 10.0]] * 20})
-    for choice, params in (("rf", {"n_estimators": 5, "max_depth": 4, "random_state": 1}), ("gbr", {"estimator__n_estimators": 20})):
+    for choice, params in (("rf", {"n_estimators": 5, "random_state": 1}), ("gbr", {"estimator__n_estimators": 20})):
         got = tensor(models.predict(models.fit(choice, xs, ys, params), xs), 20, 2)
-        assert np.allclose(got["s"], [10, 0], atol=0.5) and np.allclose(got["t"], [0, 10], atol=0.5)
-    for params in ({"min_samples_split": 7}, {"max_depth": 31}, {"nonsense": 1}):
-        with pytest.raises(ValueError):
-            models.fit("rf", xs, ys, params)
+        assert np.allclose(got["s"], [10, 0]) and np.allclose(got["t"], [0, 10])
+
+
+@pytest.mark.parametrize("choice, params", [
+    ("rf", {"nonsense": 1}), ("rf", {"criterion": "mae"}), ("rf", {"max_leaf_nodes": 4}), ("gbr", {"loss": "huber"}), ("lr", {"alpha": 1}), ("en", {"nonsense": 1}),
+    ("gp", {"kernel": "rbf"}), ("gp", {"nonsense": 1}), ("svr", {"nonsense": 1}), ("svr", {"kernel": "poly"})])
+def test_unknown_parameters_are_errors(data, choice, params):
+    with pytest.raises(ValueError):
+        models.fit(choice, data[2], data[3], params)
+
+
+def best_cut(x, y, min_leaf=1):
+    """By trying all: the first of the best (gain, feature, threshold)."""
+    best = (0.0, None, None)
+    for f in range(x.shape[1]):
+        v = np.unique(x[:, f])
+        for t in (v[:-1] + v[1:]) / 2:
+            a, b = y[x[:, f] <= t], y[x[:, f] > t]
+            if min(len(a), len(b)) >= min_leaf:
+                gain = ((y - y.mean(0)) ** 2).sum() - ((a - a.mean(0)) ** 2).sum() - ((b - b.mean(0)) ** 2).sum()
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, t)
+    return best
+
+
+def brute_tree(x, y, new, depth=None, min_split=2, min_leaf=1):
+    if len(y) < min_split or depth == 0 or ((y - y.mean(0)) ** 2).sum() < 1e-12:
+        return np.tile(y.mean(0), (len(new), 1))
+    _, f, t = best_cut(x, y, min_leaf)
+    if f is None:
+        return np.tile(y.mean(0), (len(new), 1))
+    left, out = x[:, f] <= t, np.empty((len(new), y.shape[1]))
+    deeper = None if depth is None else depth - 1
+    goes = new[:, f] <= t
+    out[goes] = brute_tree(x[left], y[left], new[goes], deeper, min_split, min_leaf)
+    out[~goes] = brute_tree(x[~left], y[~left], new[~goes], deeper, min_split, min_leaf)
+    return out
+
+
+@pytest.mark.parametrize("params", [{}, {"max_depth": 1}, {"max_depth": 3, "min_samples_leaf": 4}, {"min_samples_split": 15}, {"min_samples_split": 0.3}])
+def test_one_tree_by_brute_force(data, params):
+    x, ys, xs, yt = data
+    fitted = models.fit("rf", xs, yt, {"n_estimators": 1, "bootstrap": False, **params})
+    got = tensor(models.predict(fitted, xs), 60, 2)
+    split = params.get("min_samples_split", 2)
+    for s, y in ys.items():
+        want = brute_tree(x, y, x, params.get("max_depth"), 18 if split == 0.3 else split, params.get("min_samples_leaf", 1))
+        assert np.allclose(got[s], np.maximum(want, 0), atol=1e-9)
+
+
+def test_boosting_by_brute_force(data):
+    x, ys, xs, yt = data
+    got = tensor(models.predict(models.fit("gbr", xs, yt, {"estimator__n_estimators": 4, "estimator__learning_rate": 0.3, "estimator__max_depth": 2}), xs), 60, 2)
+    for s, y in ys.items():
+        want = np.tile(y.mean(0), (60, 1))
+        for _ in range(4):
+            for k in range(2):
+                want[:, k] += 0.3 * brute_tree(x, (y - want)[:, k:k + 1], x, 2)[:, 0]
+        assert np.allclose(got[s], np.maximum(want, 0), atol=1e-9)
+
+
+def test_trees_draw_features_and_rows(data):
+    x, ys, xs, yt = data
+    params = {"n_estimators": 12, "max_features": 1, "random_state": 3}
+    a, b = (tensor(models.predict(models.fit("rf", df, yt, params), xs), 60, 2) for df in (xs, xs.repartition(5)))
+    assert all(np.allclose(a[s], b[s]) for s in a)  # the same however the days lie
+    fitted = models.fit("rf", xs, yt, params)
+    rows = feature_importances(fitted, ["u", "v", "w"]).collect()
+    assert len(rows) == 9 and all(r.percent > 0 for r in rows)
+    assert all(abs(sum(r.percent for r in rows if r.series_id == s) - 100) < 0.1 for s in ys)
+    used = {f for r in fitted.tables["model"].collect() for f in r.feature}
+    assert used == {-1, 0, 1, 2} and fitted.tables["model"].count() == 3 * 12
+
+
+def test_trees_and_vectors_of_series_with_missing_days(data):
+    x, ys, xs, yt = data
+    holed = yt.where((F.col("series_id") != "a") | (F.dayofmonth("day") % 3 != 0))
+    keep = np.array([(DAY0 + timedelta(days=i)).day % 3 != 0 for i in range(60)])
+    got = tensor(models.predict(models.fit("rf", xs, holed, {"n_estimators": 1, "bootstrap": False, "max_depth": 2}), xs), 60, 2)
+    assert np.allclose(got["a"], brute_tree(x[keep], ys["a"][keep], x, 2)) and np.allclose(got["b"], brute_tree(x, ys["b"], x, 2))
+    fitted = models.fit("svr", xs, holed, {"C": 2.0, "gamma": 0.4, "tol": 1e-6})
+    got = tensor(models.predict(fitted, xs, floor=False), 60, 2)
+    for s, own in (("a", keep), ("b", np.ones(60, bool))):
+        k = svr.kernel_matrix(x, x[own], {"gamma": 0.4})
+        beta, b, done = svr.solve_dual(k[own], ys[s][own, 1], 2.0, 0.1, 1e-6)
+        assert done and np.allclose(got[s][:, 1], k @ beta + b, atol=1e-4)
+    assert {r.converged for r in fitted.tables["model"].collect()} == {True}
+    assert not svr.solve_dual(k, ys["b"][:, 1], 2.0, 0.1, 1e-6, max_iter=3)[2]

@@ -10,8 +10,8 @@ from tempora.operators import models
 from tempora.operators.joins import nearest_vectors
 from tempora.operators.models import ha
 from tempora.operators.stats import group_median
-from tempora.operators.tune import best_params, grid_search
-from tempora.session import materialize
+from tempora.operators.tune import best_params, grid_search, resumable_search
+from tempora.session import fresh_path, materialize
 
 from .base import (DAILY_DENSE, HOURLY_DENSE, daily_targets, day_vectors_of, hourly_dense, month, query, table, weekday)
 
@@ -146,6 +146,14 @@ def grid_search_query(spark, sf_dir):
     return _search(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+@query("q42_resumable_search", f"WITH {_CV} SELECT series_id, param_idx, fold, split, round(score, 6) AS score FROM cv")
+def resumable_search_query(spark, sf_dir):
+    """The same scores from a ledger that two buckets of series were committed to."""
+    x, y = _xy(spark, sf_dir)
+    out = resumable_search("ha", x, y, {"method": ["mean", "median"]}, fresh_path(spark, "ledger"), n_splits=5, buckets=2)
+    return out.drop("error").withColumn("score", F.round("score", 6))
+
+
 _UNSEEN = DAILY_DENSE + """, t AS (SELECT series_id, day, value, (year(day) - 1990)::INT AS yr, month(day)::INT AS mon FROM ddense),
 f AS (SELECT day, (ntile(5) OVER (ORDER BY day) - 1)::INT AS fold FROM (SELECT DISTINCT day FROM t)),
 tf AS (SELECT t.*, f.fold FROM t JOIN f USING (day)), k AS (SELECT unnest(range(5))::INT AS fold),

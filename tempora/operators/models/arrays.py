@@ -51,6 +51,13 @@ def shape(x: DataFrame, sets: list[str]) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
+def check_finite(ys: np.ndarray) -> np.ndarray:
+    """The targets, if all are numbers; a NULL target is no row, but NaN and infinity are errors."""
+    if not np.isfinite(ys).all():
+        raise ValueError("a series has targets that are not finite")
+    return ys
+
+
 def in_blocks(x: DataFrame, models: DataFrame, sets: list[str], keys: list[str], n_models: int, cells: int,
               solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``solve(days, block)`` for blocks of models: days (kind, d, x) in order, block the rows of ``models``.
@@ -89,7 +96,7 @@ def alike(block: pd.DataFrame, days: np.ndarray) -> Iterator[tuple[np.ndarray, n
     for key, rows in groups.items():
         own = np.frombuffer(key, np.int64)
         known = np.isin(own, days)
-        ys = np.array([block["ys"].iat[i] for i in rows], dtype=float)[:, known]
+        ys = check_finite(np.array([block["ys"].iat[i] for i in rows], dtype=float))[:, known]
         yield np.array(rows), np.searchsorted(days, own[known]), ys
 
 

@@ -30,10 +30,18 @@ def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[s
     data = y.join(tagged.select(*sets, "day", "tuple_id"), [*sets, "day"])
     keys = [*units, "step", "tuple_id"]
     parts = []
+
+    def wanted(method: str) -> DataFrame:
+        """The rows of the units that use a method."""
+        if chosen is None or len(set(methods)) == 1:
+            return data
+        places = [i for i, own in enumerate(methods) if own == method]
+        return data.join(chosen.where(F.col("param_idx").isin(places)).drop("param_idx"), [c for c in chosen.columns if c != "param_idx"], "left_semi")
+
     if "mean" in methods:
-        parts.append(data.groupBy(*keys).agg(F.avg("y").alias("pred")).withColumn("method", F.lit("mean")))
+        parts.append(wanted("mean").groupBy(*keys).agg(F.avg("y").alias("pred")).withColumn("method", F.lit("mean")))
     if "median" in methods:
-        parts.append(group_median(data, keys, "y", "pred").withColumn("method", F.lit("median")))
+        parts.append(group_median(wanted("median"), keys, "y", "pred").withColumn("method", F.lit("median")))
     fitted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     places = {m: F.array(*[F.lit(i) for i, own in enumerate(methods) if own == m]) for m in METHODS}
     own = F.when(F.col("method") == "mean", places["mean"]).otherwise(places["median"]).cast("array<int>")

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import (by_param, check_params, count_models, day_rows, in_blocks, long_rows, matrix, on_days, shape, target_vectors, unit_schema,
+from .arrays import (by_param, check_finite, check_params, count_models, day_rows, in_blocks, long_rows, matrix, on_days, shape, target_vectors, unit_schema,
                      with_params)
 from .base import Fitted
 
@@ -256,7 +256,7 @@ def fit(choice: str, x: DataFrame, y: DataFrame, grid: list[dict], units: list[s
             common = sorted(set.intersection(known, *[set(map(int, d)) for d in own["days"]]))
             if not common:
                 continue
-            ys = np.array([np.asarray(v)[np.isin(d, common)] for d, v in zip(own["days"], own["ys"])], dtype=float).T
+            ys = check_finite(np.array([np.asarray(v)[np.isin(d, common)] for d, v in zip(own["days"], own["ys"])], dtype=float).T)
             features = data[np.searchsorted(place, common)]
             steps = own["step"].tolist()
             for i, _ in by_param(own, np.arange(1)):

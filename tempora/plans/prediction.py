@@ -14,7 +14,7 @@ from ..operators.models.base import Fitted
 from ..operators.reshape import day_matrix_long, day_vectors, feature_frame, rows_from_steps
 from ..operators.scale import fit_scaler, scale, unscale
 from ..operators.select import drop_constant_features, floor_zero
-from ..operators.tune import best_params, grid_search, param_combinations
+from ..operators.tune import best_params, grid_search, param_combinations, resumable_search
 from ..operators.windows import prefix_split
 from ..session import materialize
 from ..sources.tables import write_predictions, write_table
@@ -138,18 +138,30 @@ class Optimised:
 
 def optimise_fit_predict(obs: DataFrame, features: DataFrame, job: Job, grid: dict | Sequence[dict], n_splits: int = 5,
                          shuffle: bool = False, seed: int = 0, series: Sequence[str] | None = None,
-                         store: str | None = None, force: bool = False) -> Optimised:
-    """Grid search per series, refit with each series' best parameters, predict."""
+                         store: str | None = None, force: bool = False, ledger: str | None = None) -> Optimised:
+    """Grid search per series, refit with each series' best parameters, predict.
+
+    With a ``ledger`` folder the search can be killed and called again, and a series that fails is reported in
+    ``cv_results`` and left out of the rest instead of ending the run.
+    """
     spark = obs.sparkSession
     data = prepare(obs, features, job, series)
     x_train, y_train = data.train()
-    cv = materialize(grid_search(job.estimator, x_train, y_train, grid, n_splits, shuffle, seed), "cv")
-    best = materialize(best_params(cv), "best")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """Written once: to the store if there is one."""
+        if not store:
+            return materialize(df, name)
+        return spark.read.schema(df.schema).parquet(write_table(df, f"{store}/optimize/{job.model}/{name}", force))
+
+    if ledger:
+        cv = keep(resumable_search(job.estimator, x_train, y_train, grid, ledger, n_splits, shuffle, seed), "cv_results")
+    else:
+        cv = keep(grid_search(job.estimator, x_train, y_train, grid, n_splits, shuffle, seed), "cv_results")
+    best = keep(best_params(cv), "best_params")
     fitted = models.fit(job.estimator, x_train, y_train, param_combinations(grid),
                         chosen=best.select("series_id", "param_idx"))
     if store:
-        write_table(cv, f"{store}/optimize/{job.model}/cv_results", force)
-        write_table(best, f"{store}/optimize/{job.model}/best_params", force)
         models.save_model(fitted, f"{store}/fit/{job.model}", force, vars(job))
         fitted = models.load_model(spark, f"{store}/fit/{job.model}")
     preds = predict_rows(fitted, data, job)

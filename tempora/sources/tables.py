@@ -79,6 +79,13 @@ def write_table(df: DataFrame, path: str, force: bool = False, fmt: str = "parqu
     return path
 
 
+def finished_folders(spark: SparkSession, folder: str) -> list[str]:
+    """Folders below ``folder`` whose write was committed, in order of name; half-written ones are not listed."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return sorted(f.getPath().getParent().toString() for f in found)
+
+
 def write_predictions(preds: DataFrame, folder: str, start: str, end: str, force: bool = False,
                       fmt: str = "parquet") -> str:
     """``<folder>/<start>_<end>``, one directory per model."""

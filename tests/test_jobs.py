@@ -142,3 +142,47 @@ def test_work_dir_comes_from_the_session(spark):
 def test_ordinal_index(spark):
     df = spark.createDataFrame([("x",), ("y",)], "s string")
     assert {r.s: r["__index__"] for r in ordinal_index(df, "s", ["y", "x"]).collect()} == {"x": 1, "y": 0}
+
+
+def test_search_goes_on_after_a_kill_and_past_a_bad_series(spark, monkeypatch):
+    from tempora.operators import tune
+    rng = np.random.default_rng(3)
+    days = [T0.date() + timedelta(days=i) for i in range(30)]
+    x = materialize(spark.createDataFrame([(d, [float(d.weekday())]) for d in days], "day date, x array<double>"))
+    rows = [(f"s{k}", d, 0, float(rng.normal() + k * d.weekday())) for k in range(6) for d in days]
+    y = materialize(spark.createDataFrame(rows, "series_id string, day date, step int, y double"))
+    broken = y.withColumn("y", F.when(F.col("series_id") == "s3", F.lit(float("nan"))).otherwise(F.col("y")))
+    folder, calls = fresh_path(spark, "ledger"), []
+    real = tune.grid_search
+
+    def counted(choice, x, own, *rest):
+        calls.append({r.series_id for r in own.select("series_id").distinct().collect()})
+        if len(calls) == 2 and stop:
+            raise KeyboardInterrupt
+        return real(choice, x, own, *rest)
+
+    monkeypatch.setattr(tune, "grid_search", counted)
+    stop = True
+    with pytest.raises(KeyboardInterrupt):
+        tune.resumable_search("lr", x, broken, {"fit_intercept": [True, False]}, folder, n_splits=3, buckets=3)
+    done = calls[0]
+    calls.clear()
+    stop = False
+    out = tune.resumable_search("lr", x, broken, {"fit_intercept": [True, False]}, folder, n_splits=3, buckets=3).collect()
+    assert calls and not any(done & c for c in calls)
+    bad = [r for r in out if r.error]
+    assert [r.series_id for r in bad] == ["s3"] and bad[0].score is None and "Error" in bad[0].error
+    assert len(out) == 1 + 5 * 2 * 3 * 2
+    want = {(r.series_id, r.param_idx, r.fold, r.split): r.score for r in real("lr", x, y.where("series_id <> 's3'"), {"fit_intercept": [True, False]}, 3).collect()}
+    assert all(abs(want[r.series_id, r.param_idx, r.fold, r.split] - r.score) < 1e-9 for r in out if not r.error)
+    calls.clear()
+    assert tune.resumable_search("lr", x, broken, {"fit_intercept": [True, False]}, folder, n_splits=3, buckets=3).count() == len(out) and not calls
+    assert {r.series_id for r in tune.best_params(spark.createDataFrame(out)).collect()} == {f"s{k}" for k in (0, 1, 2, 4, 5)}
+
+
+def test_optimise_job_with_a_ledger(spark, inputs):
+    folder = fresh_path(spark, "ledger")
+    plain = optimise_fit_predict(*inputs, job(), {"method": ["mean", "median"]}, n_splits=3)
+    for _ in range(2):
+        run = optimise_fit_predict(*inputs, job(), {"method": ["mean", "median"]}, n_splits=3, ledger=folder)
+        assert sorted(map(tuple, run.predictions.collect())) == sorted(map(tuple, plain.predictions.collect()))

@@ -37,14 +37,15 @@ class Encoder:
 
     A text is cut before each blank or line end that stands alone between other characters: pieces of the tokenizer's
     pattern never cross such a place, so the ids of the parts are the parts of the ids. Texts with other white space
-    after a blank or line end are encoded whole.
+    after a blank or line end are encoded whole. Texts that spell a token which the file adds to its vocabulary go to the
+    tokenizer as it comes, which gives that token's id.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
         self._fast = None
 
@@ -72,6 +73,8 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         from re import search
 
+        if any(t in text for t in self._added):
+            return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if search(r"[ \n](?:\s|\Z)", text):
             return self._encode(text)
         first, *rest = text.replace("\n", " \n").split(" ")

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tempora.llm.bits import key_table, present
 from tempora.llm.components import components
@@ -155,8 +155,8 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles, parity) of the wanted nodes; texts of others are left out before any shuffle."""
-    bits, n_bits = key_table(wanted, F.xxhash64("node"), wanted.count())
-    schema = pa.schema([("node", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.list_(pa.int32())), ("parity", pa.list_(pa.int64()))])
+    bits, n_bits = key_table(wanted, F.xxhash64("k1"), wanted.count())
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.list_(pa.int32())), ("parity", pa.list_(pa.int64()))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -167,28 +167,29 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 bit_words = [parity(s) for s in sets]
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate(own).view(kind)))
                          for own, kind in ((sets, np.int32), (bit_words, np.int64))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "k1", "k2")), *lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k1", "k2")), *lists], schema=schema)
 
-    found = docs.withColumn("node", F.coalesce("doc_id", "k1")).withColumn("hash", F.xxhash64("node")).select("node", "k1", "k2", "hash", "text") \
-        .mapInArrow(gather, "node long, k1 long, k2 long, shingles array<int>, parity array<long>")
-    return found.join(wanted, ["node", "k1", "k2"]).dropDuplicates(["node"]).select("node", "shingles", "parity")
+    found = docs.withColumn("hash", F.xxhash64("k1")).select("k1", "k2", "hash", "text").mapInArrow(gather, "k1 long, k2 long, shingles array<int>, parity array<long>")
+    return found.join(wanted.select("node", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "shingles", "parity")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, k1, k2, class_id) of every row; k1 and k2 name its text, class_id is the smallest doc_id of its class.
+    """(doc_id, k1, k2, root, class_id) of every row: k1 and k2 name its text, root its class, class_id is the smallest doc_id there.
 
-    Classes are connected: a document is in a class if a chain of pairs at ``similarity`` or more leads there. NULL
-    text counts as empty; texts without words are alike only if equal. Rows with one doc_id are one document; a row
-    without one is named by its text's hash. Other columns are not read; an empty table gives no rows.
+    Classes are of texts and connected: a text is in a class if a chain of pairs at ``similarity`` or more leads there.
+    NULL text counts as empty; texts without words are alike only if equal. Different texts under one doc_id are texts of
+    their own: the id appears in each of their classes, whose class_id it may be. A class without any doc_id is named by
+    a hash of its texts. Other columns are not read; an empty table gives no rows.
     """
     k1, k2 = text_key(F.col("text"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = materialize(_signed(source), "signatures")
-    same = materialize(signed.groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), F.first("k1")).alias("node"), F.first("keys").alias("keys")), "texts")
+    same = materialize(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"), F.first("keys").alias("keys"))
+                       .withColumn("node", F.monotonically_increasing_id()), "texts")  # ids hold because they are read back
     led = materialize(leaders(same), "keys")
     pairs = materialize(candidates(same, led), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(same.join(ends, "node"), "ends")
+    wanted = materialize(same.drop("low_id").join(ends, "node"), "ends")
     sets = materialize(_sets(source, wanted.drop("keys")), "shingles")
     alike = F.col("common") >= similarity * F.col("every")
     tested = materialize(_distances(pairs, sets), "distances")
@@ -202,19 +203,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         joined = materialize(components(links).select(F.col("node").alias("root"), F.col("root").alias("top")), "joined")
         known = roots.unionByName(joined.select(F.col("root").alias("node"), "root")).distinct()
         roots = known.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    named = same.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
-    return signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
+    named = same.select("k1", "k2", "node", "low_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = named.groupBy("root").agg(F.coalesce(F.min("low_id"), F.min("k1")).alias("class_id"))
+    return signed.select("doc_id", "k1", "k2").join(named.join(lowest, "root").select("k1", "k2", "root", "class_id"), ["k1", "k2"])
 
 
 def class_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every row, NULL, empty and repeated ones included as :func:`classes` has them."""
     return classes(docs).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, unchanged."""
+    """One document of each class, the one with the smallest doc_id, unchanged.
+
+    Of several texts with that doc_id in one class the first by hash stays, of repeated rows any one; a row without a
+    doc_id stays only where its class has none. A doc_id with texts in two classes stays in both.
+    """
     k1, k2 = text_key(F.col("text"))
-    kept = classes(docs).where(F.coalesce("doc_id", "k1") == F.col("class_id")).groupBy("class_id").agg(F.min(F.struct("k1", "k2")).alias("k")) \
-        .select(F.col("class_id").alias("node"), "k.k1", "k.k2")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col("doc_id").cast("long"), k1).alias("node"))
-    one = Window.partitionBy("node", "k1", "k2").orderBy(F.xxhash64("row"))
-    return rows.join(kept, ["node", "k1", "k2"]).withColumn("at", F.row_number().over(one)).where("at = 1").select("row.*")
+    kept = classes(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("k")).select("k.doc_id", "k.k1", "k.k2")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("id"))
+    found = rows.join(kept, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("doc_id")))
+    return found.groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")

@@ -14,10 +14,8 @@ from tempora.session import materialize
 
 #: A line goes from a host if more than this share of the host's pages have it ...
 RATIO = 0.1
-#: ... and at least so many pages. The SQL of op3 names this floor: below 50 pages a host's threshold is 5 pages.
-MIN_PAGES = 5
-#: The floor for documents: the ratio alone decides, but a line of one document is not shared.
-MIN_DOCUMENTS = 2
+#: ... and at least so many: the ratio alone decides, but a line of one page is not shared.
+MIN_PAGES = 2
 
 
 def html_lines(html: Column) -> Column:
@@ -81,7 +79,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Documents without the lines that are boilerplate in their source; ``n_chars`` follows, where there is one."""
-    done = drop_boilerplate(docs, F.col("source"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), min_pages=MIN_DOCUMENTS)
+    done = drop_boilerplate(docs, F.col("source"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     new = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.array_join("kept", "\n"))
     made = {"text": new, "n_chars": F.length(new).cast("long")}
     return done.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -98,7 +96,7 @@ WITH p AS (SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extrac
                 lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM pages),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 c AS (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT r, host, unnest(lines) AS line FROM p) GROUP BY ALL),
-b AS (SELECT c.host, list(line) AS gone FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE n > 0.1 * pages AND n >= 5 GROUP BY c.host),
+b AS (SELECT c.host, list(line) AS gone FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE n > 0.1 * pages AND n >= 2 GROUP BY c.host),
 k AS (SELECT page_id, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host)
 SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k

@@ -239,7 +239,8 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
     shared = entries.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
     entries = materialize(entries.join(shared, "g"), "entries")
     roots, sets, tested = None, None, None
-    for round_ in range(rounds + 1):
+    round_ = 0
+    while round_ <= rounds:
         if roots is None:
             columns = entries.withColumn("root", F.col("node"))
         else:
@@ -259,10 +260,10 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
             break
         links = materialize(_linked(pairs, sets, percent), "linked")
         if links.isEmpty():
-            if last:
-                break
+            round_ = rounds + 1 if last else rounds  # other pivots would not help much: on to the blocks
             continue
         roots = materialize(_merge(roots, links), "roots")
+        round_ += 1
     named = nodes.select("k1", "k2", "node", "low_id")
     named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("low_id").alias("component_id"))

@@ -256,10 +256,8 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
         if not wanted.isEmpty():
             fresh = materialize(_full_sets(source, wanted, k), "elements")
             sets = fresh if sets is None else sets.unionByName(fresh)
-        if sets is None:
-            break
-        links = materialize(_linked(pairs, sets, percent), "linked")
-        if links.isEmpty():
+        links = None if sets is None else materialize(_linked(pairs, sets, percent), "linked")
+        if links is None or links.isEmpty():
             round_ = rounds + 1 if last else rounds  # other pivots would not help much: on to the blocks
             continue
         roots = materialize(_merge(roots, links), "roots")

@@ -43,7 +43,7 @@ PERCENT = 80
 CELLS = 1 << 22
 BLOCK = 1 << 16
 #: Rounds of pivots.
-ROUNDS = 3
+ROUNDS = 2
 #: Rows of a block of the product.
 ROWS = 2000
 #: Texts are shingled in slices of about so many bytes.

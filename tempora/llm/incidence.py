@@ -10,8 +10,8 @@ allows. The sketch decides the order only; any order gives the same links.
 The product is taken in two steps, because a column of m near copies has m^2 entries:
 
 1. Pivots. In every column one row is drawn; every row meets the one pivot that it shares most columns with, its overlap
-   is counted in full, and linked rows become one component. A few rounds of this leave a group of near copies as one
-   component with as many overlaps counted as it has rows.
+   is counted in full, and linked rows become one component. This leaves a group of near copies as one component, or
+   nearly so, with as many overlaps counted as it has rows.
 2. Blocks. What is left are columns with rows of several components. Their rows are cut into blocks of about ROWS; each
    pair of blocks is one join key, so no key holds more than ROWS^2 pairs however frequent the column. Pairs of different
    components and fitting sizes add up their common columns; a pair goes on only if its count and all that lies beyond
@@ -43,7 +43,7 @@ PERCENT = 80
 CELLS = 1 << 22
 BLOCK = 1 << 16
 #: Rounds of pivots.
-ROUNDS = 2
+ROUNDS = 1
 #: Rows of a block of the product.
 ROWS = 2000
 #: Texts are shingled in slices of about so many bytes.

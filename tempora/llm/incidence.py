@@ -13,9 +13,11 @@ The product is taken in two steps, because a column of m near copies has m^2 ent
    is counted in full, and linked rows become one component. This leaves a group of near copies as one component, or
    nearly so, with as many overlaps counted as it has rows.
 2. Blocks. What is left are columns with rows of several components. Their rows are cut into blocks of about ROWS; each
-   pair of blocks is one join key, so no key holds more than ROWS^2 pairs however frequent the column. Pairs of different
-   components and fitting sizes add up their common columns; a pair goes on only if its count and all that lies beyond
-   its prefixes can reach need(x, y). The survivors' overlaps are counted in full.
+   pair of blocks is one join key, so no key holds more than ROWS^2 pairs however frequent the column. The join lets only
+   pairs through that are in different components, have fitting sizes, and whose parities allow it: every element flips
+   one bit of its set's parity, so sets differ in at least as many elements as their parities in bits, and linked sets
+   differ in at most (x + y) (100 - P) / (100 + P). These pairs add up their common columns; a pair goes on only if its
+   count and all that lies beyond its prefixes can reach need(x, y). The survivors' overlaps are counted in full.
 
 Components of the links are found by stars. A shingle is a 64-bit hash of its words, a set is named by two 64-bit hashes.
 """
@@ -48,6 +50,8 @@ ROUNDS = 1
 ROWS = 2000
 #: Texts are shingled in slices of about so many bytes.
 SLICE_BYTES = 1 << 18
+#: 64-bit words of a set's parity.
+PARITY = 8
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -109,16 +113,22 @@ def set_keys(own: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """PARITY words; each of the distinct elements flips one bit of them."""
+    count = np.bincount((mix(own ^ _SECOND) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signed(docs: DataFrame, classes: Broadcast, cells: int, k: int, percent: int) -> DataFrame:
-    """(doc_id, th, k1, k2, n, prefix) of every row; of equal sets in a batch only the first carries the prefix."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    """(doc_id, th, k1, k2, n, prefix, parity) of every row; of equal sets in a batch only the first carries the prefix."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         for batch in batches:
             seen: set[tuple[int, int]] = set()
             for part in _slices(batch):
-                keys, sizes, prefixes = [], [], []
+                keys, sizes, prefixes, bits = [], [], [], []
                 for own in _sets_of(part, k):
                     key = set_keys(own)
                     first = own[:0]
@@ -128,12 +138,14 @@ def _signed(docs: DataFrame, classes: Broadcast, cells: int, k: int, percent: in
                     keys.append(key)
                     sizes.append(len(own))
                     prefixes.append(first)
+                    bits.append(parity(own))
                 flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()),
-                                                  pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
+                                                  pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                                                  pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(bits)))], schema=schema)
 
-    return docs.mapInArrow(sign, "doc_id long, th long, k1 long, k2 long, n long, prefix array<long>")
+    return docs.mapInArrow(sign, "doc_id long, th long, k1 long, k2 long, n long, prefix array<long>, parity array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -189,17 +201,22 @@ def pivot_pairs(columns: DataFrame, round_: int, percent: int = PERCENT) -> Data
     return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def block_pairs(columns: DataFrame, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
-    """(a, b, common): pairs of different components by blocks, with their common prefix columns, that can still be linked."""
+def block_pairs(columns: DataFrame, parities: DataFrame, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
+    """(a, b, common): pairs of different components by blocks, with their common prefix columns, that can still be linked.
+
+    ``parities`` (node, parity).
+    """
     sizes = columns.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     blocks = F.ceil(F.col("m") / rows).cast("int").alias("blocks")
     entries = columns.join(sizes.select("g", blocks), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    entries = entries.select("g", "node", "root", "n", "block", "blocks")
+    entries = entries.join(parities, "node").select("g", "node", "root", "n", "parity", "block", "blocks")
     left = entries.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = entries.withColumnRenamed("block", "to").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("to")))) \
-        .select("g", "block", "to", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "n")])
+        .select("g", "block", "to", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "n", "parity")])
+    differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_")[i])) for i in range(PARITY)), F.lit(0))
+    few = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_"))
     met = left.join(right, ["g", "block", "to"]).where(
-        (F.col("root") != F.col("root_")) & _fits(percent) & ((F.col("block") < F.col("to")) | (F.col("node") < F.col("node_"))))
+        (F.col("root") != F.col("root_")) & _fits(percent) & few & ((F.col("block") < F.col("to")) | (F.col("node") < F.col("node_"))))
     ordered = F.col("node") < F.col("node_")
     pair = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"), F.when(ordered, F.col("n")).otherwise(F.col("n_")).alias("n"),
                       F.when(ordered, F.col("n_")).otherwise(F.col("n")).alias("n_"))
@@ -232,7 +249,7 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
     classes, cells = frequency_classes(source, k, cells)
     signed = materialize(_signed(source, classes, cells, k, percent), "sets")
-    grouped = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.max("prefix").alias("prefix"))
+    grouped = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.max("prefix").alias("prefix"), F.first("parity").alias("parity"))
     # ids are unique because they are read back from the table they were written to
     nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("i", "g"))
@@ -246,7 +263,7 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
         else:
             columns = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         last = round_ == rounds
-        pairs = (block_pairs(columns, percent, rows) if last else pivot_pairs(columns, round_, percent)).select("a", "b")
+        pairs = (block_pairs(columns, nodes.select("node", "parity"), percent, rows) if last else pivot_pairs(columns, round_, percent)).select("a", "b")
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -9,9 +9,10 @@ allows. The sketch decides the order only; any order gives the same links.
 
 The product is taken in two steps, because a column of m near copies has m^2 entries:
 
-1. Pivots. In every column one row is drawn; every row meets the one pivot that it shares most columns with, its overlap
-   is counted in full, and linked rows become one component. This leaves a group of near copies as one component, or
-   nearly so, with as many overlaps counted as it has rows.
+1. Pivots. Every column has one row for a pivot, the one with the largest share of its prefix in columns that others have
+   too, which in a group of near copies is the text nearest to all others. Every row meets the one pivot that it shares
+   most columns with, its overlap is counted in full, and linked rows become one component. This leaves a group of near
+   copies as one component, or nearly so, with as many overlaps counted as it has rows.
 2. Blocks. What is left are columns with rows of several components. Their rows are cut into blocks of about ROWS; each
    pair of blocks is one join key, so no key holds more than ROWS^2 pairs however frequent the column. The join lets only
    pairs through that are in different components, have fitting sizes, and whose parities allow it: every element flips
@@ -188,9 +189,10 @@ def _fits(percent: int) -> Column:
 def pivot_pairs(columns: DataFrame, round_: int, percent: int = PERCENT) -> DataFrame:
     """(a, b): each row with the pivot of another component that it shares most columns with, if sizes and places allow.
 
-    ``columns`` (g, node, root, n, i) are the entries of the prefixes, i the place of the column in the row's order.
+    ``columns`` (g, node, root, n, i, common) are the entries of the prefixes, i the place of the column in the row's
+    order, common the share of the row's prefix in columns that other rows have too. Ties are drawn by a hash of the root.
     """
-    drawn = F.xxhash64(F.col("root"), F.lit(round_))
+    drawn = F.struct((-F.col("common")).alias("own"), F.xxhash64(F.col("root"), F.lit(round_)).alias("draw"))
     pivots = columns.groupBy("g").agg(F.min(F.struct(drawn.alias("d"), F.col("root").alias("root_"), F.col("node").alias("node_"), F.col("n").alias("n_"), F.col("i").alias("i_"))).alias("p"),
                                       F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("g", "p.*")
     met = columns.join(pivots.drop("d"), "g").where((F.col("root") != F.col("root_")) & _fits(percent))
@@ -255,6 +257,7 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("i", "g"))
     shared = entries.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
     entries = materialize(entries.join(shared, "g"), "entries")
+    common = entries.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(nodes.select("node", F.size("prefix").alias("of")), "node").select("node", (F.col("c") / F.col("of")).alias("common"))
     roots, sets, tested = None, None, None
     round_ = 0
     while round_ <= rounds:
@@ -263,7 +266,7 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
         else:
             columns = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         last = round_ == rounds
-        pairs = (block_pairs(columns, nodes.select("node", "parity"), percent, rows) if last else pivot_pairs(columns, round_, percent)).select("a", "b")
+        pairs = (block_pairs(columns, nodes.select("node", "parity"), percent, rows) if last else pivot_pairs(columns.join(common, "node"), round_, percent)).select("a", "b")
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

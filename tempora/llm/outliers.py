@@ -5,9 +5,14 @@ determinant estimate gives a centre and a covariance that outliers cannot pull:
 concentration steps keep the COVER share of documents nearest by Mahalanobis distance and estimate again from them.
 Documents beyond the LIMIT quantile of the distances' law are rejected.
 
+Most documents repeat no line and no words, so these two shares have no normal law over all documents. Each language and
+source is therefore split by which of the two a document has at all: where it has none the value is constant and decides
+nothing, where it has some the share is judged among the documents that have some. Symbols do not split a group: where
+clean documents have none the value is constant, and FLOORS says how far from it a document may be.
+
 Statistics are computed within a row by array functions and written once; the steps then aggregate that narrow table.
 Quantiles come from counts in fine bins, so they are the same however rows are dealt, and a group of any size passes
-through partial aggregates only. No step gathers a group.
+through partial aggregates only: cuts and estimates, one row a group, are written and joined to the rows.
 """
 
 from __future__ import annotations
@@ -22,12 +27,13 @@ from tempora.session import materialize
 #: Share of a group's documents that its estimate rests on.
 COVER = 0.75
 #: Share of clean documents that the distance keeps, were they normal.
-LIMIT = 1 - 1e-5
-#: Groups of fewer documents are pooled by language, then over all; a pool that is still smaller rejects nothing.
+LIMIT = 1 - 1e-6
+#: Groups of fewer documents are pooled by language, then over all, within what they repeat; a pool that is still smaller
+#: rejects nothing.
 MIN_GROUP = 50
-#: Smallest standard deviations of the vector: log of the mean word length, and arcs of the shares of symbols, of
-#: repeated lines and of words in repeated windows. Shares that are 0 in most documents would have none otherwise.
-FLOORS = (0.15, 0.06, 0.12, 0.12)
+#: Standard deviations of a value that is constant in a group: log of the mean word length, arc of the share of symbols,
+#: logs of the shares of repeated lines and of words in repeated windows. They are far below those of values that vary.
+FLOORS = (0.005, 0.03, 0.02, 0.02)
 STEPS = 8
 _P = len(FLOORS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
@@ -76,19 +82,16 @@ def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def _vector() -> list[Column]:
-    def arc(part: str, whole: str) -> Column:
-        return F.asin(F.sqrt(F.least(F.lit(1.0), F.col(part) / F.greatest(F.lit(1), F.col(whole)))))
+    def log_share(part: str, whole: str) -> Column:
+        return F.when(F.col(part) > 0, F.log(F.col(part) / F.col(whole))).otherwise(0.0)
 
     return [F.log(F.greatest(F.lit(1.0), F.col("word_chars") / F.greatest(F.lit(1), F.col("n_words")))),
-            arc("n_symbols", "word_chars"), arc("n_dup_lines", "n_lines"), arc("n_repeat_words", "n_words")]
-
-
-def _factor() -> dict[tuple[int, int], str]:
-    return {(i, j): f"l{i}{j}" for i, j in _PAIRS}
+            F.asin(F.sqrt(F.least(F.lit(1.0), F.col("n_symbols") / F.greatest(F.lit(1), F.col("word_chars"))))),
+            log_share("n_dup_lines", "n_lines"), log_share("n_repeat_words", "n_words")]
 
 
 def _with_factor(estimates: DataFrame) -> DataFrame:
-    """Columns of the lower triangular factor of the covariance c, with variances held at their floors, and its log determinant."""
+    """Columns of the lower triangular factor of the covariance c, and its log determinant; a variance of 0 becomes its floor's."""
     out = estimates.withColumns({f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(FLOORS[i] ** 2)) for i in range(_P)})
     for i, j in _PAIRS:
         rest = F.col(f"c{i}{j}")
@@ -120,8 +123,8 @@ def _quantile(binned: DataFrame, by: list[str], share: float) -> DataFrame:
 
 
 def _centre(long: DataFrame, name: str) -> DataFrame:
-    """Median of v for every group and value, from bins of a sixteenth of the floor."""
-    width = F.element_at(F.array(*[F.lit(f / 16) for f in FLOORS]), F.col("k") + 1)
+    """Median of v for every group and value, from bins of half a floor."""
+    width = F.element_at(F.array(*[F.lit(f / 2) for f in FLOORS]), F.col("k") + 1)
     cut = _quantile(long.select("g", "k", F.floor(F.col("v") / width).alias("bin")), ["g", "k"], 0.5)
     return cut.select("g", "k", ((F.col("cut") + 0.5) * width).alias(name))
 
@@ -143,14 +146,9 @@ def estimate(vectors: DataFrame, cover: float = COVER, steps: int = STEPS) -> Da
     now = materialize(_start(vectors), "estimates")
     for step in range(steps):
         near = vectors.join(now, "g").select("g", *[f"x{i}" for i in range(_P)], F.floor(F.log(_distance() + 1e-3) * 64).alias("bin"))
-        kept = near.join(_quantile(near.select("g", "bin"), ["g"], cover), "g").where("bin <= cut")
-        # moments around the old centre keep their digits
-        shift = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(_P)]
-        sums = kept.join(now.select("g", *[f"m{i}" for i in range(_P)]), "g").groupBy("g").agg(
-            F.count("*").alias("n"), *[F.first(f"m{i}").alias(f"o{i}") for i in range(_P)], *[F.avg(v).alias(f"d{i}") for i, v in enumerate(shift)],
-            *[F.avg(shift[i] * shift[j]).alias(f"q{i}{j}") for i, j in _PAIRS])
-        new = sums.select("g", *[(F.col(f"o{i}") + F.col(f"d{i}")).alias(f"m{i}") for i in range(_P)],
-                          *[(scale * (F.col(f"q{i}{j}") - F.col(f"d{i}") * F.col(f"d{j}"))).alias(f"c{i}{j}") for i, j in _PAIRS])
+        cut = materialize(_quantile(near.select("g", "bin"), ["g"], cover), "cuts")
+        new = near.join(cut, "g").where("bin <= cut").groupBy("g").agg(
+            *[F.avg(f"x{i}").alias(f"m{i}") for i in range(_P)], *[(scale * F.covar_pop(f"x{i}", f"x{j}")).alias(f"c{i}{j}") for i, j in _PAIRS])
         new = materialize(_with_factor(new), "estimates")
         moved = new.select("g", "logdet").join(now.select("g", F.col("logdet").alias("was")), "g").agg(F.max(F.abs(F.col("was") - F.col("logdet")))).first()[0]
         now = new
@@ -168,22 +166,21 @@ def assess(docs: DataFrame, keep: list[str] | None = None, limit: float = LIMIT,
     named = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), c))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = materialize(statistics(docs, keep).withColumn("base_failed", failed), "statistics")
-    sizes = stats.where("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    repeats = F.concat((F.col("n_dup_lines") > 0).cast("int").cast("string"), (F.col("n_repeat_words") > 0).cast("int").cast("string"))
+    sizes = stats.where("NOT base_failed").groupBy("lang", "source", repeats.alias("gr")).agg(F.count("*").alias("n"))
     small = F.col("n") < min_group
-    pool = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("lang"))
-    rest = F.sum(F.when(small & (F.col("pool") < min_group), F.col("n"))).over(Window.partitionBy(F.lit(1)))
+    pool = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("lang", "gr"))
+    rest = F.sum(F.when(small & (F.col("pool") < min_group), F.col("n"))).over(Window.partitionBy("gr"))
     groups = materialize(
         sizes.withColumn("pool", pool).withColumn("rest", rest)
-        .select(F.col("lang").alias("gl"), F.col("source").alias("gs"),
-                F.when(~small, F.concat(F.lit("s"), F.length(named("lang")), named("lang"), named("source")))
-                .when(F.col("pool") >= min_group, F.concat(F.lit("l"), named("lang"))).when(F.col("rest") >= min_group, F.lit("a")).alias("g")), "groups")
-    vectors = stats.where("NOT base_failed").join(groups, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))) \
-        .where("g IS NOT NULL").select("g", *[v.alias(f"x{i}") for i, v in enumerate(_vector())])
-    found = estimate(materialize(vectors, "vectors"))
-    judged = groups.join(found, "g", "left")
+        .select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "gr", F.concat("gr", F.when(
+            ~small, F.concat(F.lit("s"), F.length(named("lang")), named("lang"), named("source")))
+            .when(F.col("pool") >= min_group, F.concat(F.lit("l"), named("lang"))).when(F.col("rest") >= min_group, F.lit("a"))).alias("g")), "groups")
+    own = F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")) & (repeats == F.col("gr"))
+    vectors = stats.where("NOT base_failed").join(groups, own).where("g IS NOT NULL").select("g", *[v.alias(f"x{i}") for i, v in enumerate(_vector())])
+    judged = materialize(groups.join(estimate(materialize(vectors, "vectors")), "g", "left"), "judged")
     far = _chi2_inverse(limit, _P)
-    return stats.withColumns({f"x{i}": v for i, v in enumerate(_vector())}) \
-        .join(judged, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left") \
+    return stats.withColumns({f"x{i}": v for i, v in enumerate(_vector())}).join(judged, own, "left") \
         .select(*stats.columns, (~F.col("base_failed") & ~F.coalesce(_distance() > far, F.lit(False))).alias("kept"))
 
 

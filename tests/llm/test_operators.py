@@ -435,6 +435,69 @@ def test_estimate_is_not_pulled_by_outliers(spark):
     assert [r["l00"], r["l11"], r["l22"], r["l33"]] == pytest.approx([1, .5, 2, 1], rel=.2)
 
 
+def _determinant(rows, cover, scale, rng):
+    """Smallest covariance determinant over many starts: centre and covariance of the nearest share of the rows."""
+    size, best = math.ceil(cover * len(rows)), None
+    for start in range(60):
+        m, c = np.median(rows, 0), np.diag(np.maximum(np.var(rows, 0), 1e-3)) / 4
+        if start:
+            few = rows[rng.choice(len(rows), 12, replace=False)]
+            m, c = few.mean(0), np.cov(few.T, bias=True)
+        for _ in range(30):
+            c = c + np.diag(np.where(np.diag(c) < np.square(outliers.FLOORS), np.square(outliers.FLOORS), 0))
+            d = np.einsum("ij,jk,ik->i", rows - m, np.linalg.inv(c), rows - m)
+            near = rows[np.argsort(d)[:size]]
+            m, c = near.mean(0), scale * np.cov(near.T, bias=True)
+        c = c + np.diag(np.where(np.diag(c) < np.square(outliers.FLOORS), np.square(outliers.FLOORS), 0))
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    return best[1:]
+
+
+def _worded(rng, mean, n, repeats=0):
+    """A text of n words of about so many letters, the first of them said twice where repeats is above 0."""
+    said = ["".join(rng.choice("abcdefghijklmnop") for _ in range(max(1, round(rng.gauss(mean, 1))))) for _ in range(n)]
+    return " ".join(said + said[:repeats])
+
+
+def test_verdicts_are_those_of_a_brute_force_estimate(spark):
+    rng = random.Random(12)
+    every = [_worded(rng, rng.gauss(9, .3), rng.randrange(150, 300)) for _ in range(220)] + [_worded(rng, rng.uniform(9, 15), 200) for _ in range(30)]
+    every += [_worded(rng, rng.gauss(9, .3), 200, round(math.exp(rng.gauss(2.5, .3))) + 3) for _ in range(120)] + [_worded(rng, rng.uniform(5, 9), 200, rng.randrange(4, 90)) for _ in range(20)]
+    got = by_id(outliers.quality_table(frame(spark, every)))
+    cover, far = outliers.COVER, outliers._chi2_inverse(outliers.LIMIT, 4)
+    scale = cover / outliers._chi2(outliers._chi2_inverse(cover, 4), 6)
+    decided = []
+    for repeats in (False, True):
+        own = [r for r in got.values() if (r["n_repeat_words"] > 0) == repeats]
+        rows = np.array([[math.log(r["word_chars"] / r["n_words"]), 0, 0, math.log(r["n_repeat_words"] / r["n_words"]) if repeats else 0] for r in own])
+        m, c = _determinant(rows, cover, scale, np.random.default_rng(1))
+        d = np.einsum("ij,jk,ik->i", rows - m, np.linalg.inv(c), rows - m)
+        for r, distance in zip(own, d):
+            if not 0.85 * far < distance < 1.15 * far:  # nearest shares may differ by a row or two of equal bins
+                decided.append(distance > far)
+                assert r["kept"] == (distance < far), (r, distance)
+    assert len(decided) > 370 and 15 < sum(decided) < 60
+
+
+def test_the_spread_of_a_group_decides(spark):
+    def verdict(spread):
+        rng = random.Random(13)
+        texts = [_worded(rng, 9 + spread * rng.gauss(0, 1), 200) for _ in range(150)] + [_worded(rng, 12.2, 200)]
+        return by_id(outliers.quality_table(frame(spark, texts)))[150]["kept"]
+
+    assert not verdict(.3) and verdict(1.2)
+
+
+def test_values_that_few_documents_have_are_judged_among_these(spark):
+    rng = random.Random(14)
+    plain = [_worded(rng, 9 + .3 * rng.gauss(0, 1), 200) for _ in range(200)]
+    said = [_worded(rng, 9 + .3 * rng.gauss(0, 1), 200, rng.randrange(5, 15)) for _ in range(60)]
+    marked = [t + " #$%&|" * 20 for t in plain[:5]]
+    got = by_id(outliers.quality_table(frame(spark, plain + said + marked)))
+    assert all(got[i]["kept"] for i in range(260)) and not any(got[i]["kept"] for i in range(260, 265))
+
+
 def test_shards(spark, docs, texts):
     more = docs.unionByName(docs.limit(20)).unionByName(docs.where("doc_id < 30").withColumn("doc_id", F.col("doc_id") + 1000))
     rows = sharding.shard_table(more, 4).collect()

@@ -40,11 +40,12 @@ def joined_files_query(spark, sf_dir):
     return read_joined(spark, [first, second], ["ts STRING, n BIGINT", "ts STRING, n_urgent BIGINT"])
 
 
-@query("q52_wide_files", f"WITH {HOURLY_DENSE} SELECT series_id, ts, value FROM hdense WHERE series_id IN ('view', 'click')")
+@query("q52_wide_files", f"WITH {HOURLY_DENSE} SELECT series_id, ts, value FROM hdense")
 def wide_files_query(spark, sf_dir):
     """The wide CSV layout (label column, one column per series), written, read back and melted."""
-    path = write_wide(hourly_dense(spark, sf_dir), fresh_path(spark, "wide"), ["click", "error", "view"])
-    return read_observations(spark, [path], ["view", "click"])
+    series = ["click", "error", "purchase", "signup", "view"]
+    path = write_wide(hourly_dense(spark, sf_dir), fresh_path(spark, "wide"), series)
+    return read_observations(spark, [path], series)
 
 
 @query("q52_day_lists", f"""WITH {ORDER_DAYS}, {CALENDAR} SELECT 'holiday' AS kind, day AS start_day, day AS end_day FROM holidays

@@ -123,15 +123,18 @@ def lag_lead_x_query(spark, sf_dir):
 _HOURS = [f"{h:02d}:00:00" for h in range(24)]
 
 
-@query("q18_day_time_pivot", f"""WITH {HOURLY_DENSE}, wide AS (SELECT ts, day, step, sum(value) FILTER (series_id = 'click') AS click,
-  sum(value) FILTER (series_id = 'view') AS view FROM hdense GROUP BY 1, 2, 3)
-SELECT day, {", ".join(f'''avg({f}) FILTER (step = {h}) AS "{f}|{t}"''' for f in ("click", "view") for h, t in enumerate(_HOURS))},
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("q18_day_time_pivot", f"""WITH {HOURLY_DENSE}, wide AS (SELECT ts, day, step,
+  {", ".join(f"sum(value) FILTER (series_id = '{f}') AS {f}" for f in _TYPES)} FROM hdense GROUP BY 1, 2, 3)
+SELECT day, {", ".join(f'''avg({f}) FILTER (step = {h}) AS "{f}|{t}"''' for f in _TYPES for h, t in enumerate(_HOURS))},
   (isodow(day) - 1)::INT AS day_id, (day = (SELECT min(day) FROM hdense))::INT AS first_day FROM wide GROUP BY day""")
 def day_time_pivot_query(spark, sf_dir):
-    wide = long_to_wide(hourly_dense(spark, sf_dir), ["click", "view"])
+    wide = long_to_wide(hourly_dense(spark, sf_dir), _TYPES)
     first = wide.agg(F.min("ts").alias("t")).scalar()
     wide = wide.withColumn("day_id", weekday_id("ts")).withColumn("first_day", (F.to_date("ts") == F.to_date(first)).cast("int"))
-    return day_time_pivot(wide, ["click", "view"], ["day_id", "first_day"], _HOURS)
+    return day_time_pivot(wide, _TYPES, ["day_id", "first_day"], _HOURS)
 
 
 @query("q18_key_lookup", f"""WITH {HOURLY}, totals AS (SELECT ts::DATE AS day, sum(value) AS n FROM hourly GROUP BY 1),
@@ -179,5 +182,5 @@ def day_array_query(spark, sf_dir):
 @query("q21_wide_and_back", f"WITH {HOURLY_DENSE} SELECT series_id, ts, value FROM hdense")
 def wide_and_back_query(spark, sf_dir):
     """The wide observation table (one column per series) and its long form."""
-    series = ["click", "error", "purchase", "signup", "view"]
+    series = _TYPES
     return wide_to_long(long_to_wide(hourly_dense(spark, sf_dir), series), "ts", series)

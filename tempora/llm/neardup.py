@@ -13,12 +13,15 @@ HEAVIEST = 0.762 and shares none of the BANDS keys with a probability of at most
 
 Equal texts are one node before banding. Under a key every member is first paired with the smallest node and with one
 drawn by a hash of node and key: these pairs grow with the members, not with their square. Pairs are verified by the
-exact Jaccard similarity of their shingle sets, and verified pairs make classes. Then members of one key whose classes
-still differ are compared with each other, so that no two nodes that share a key stay apart unless they were compared
-or cannot be alike. Two bounds tell so before a pair is made: Jaccard distance is a metric, so two members whose
-distances to the smallest node differ by more than the limit are further apart than the limit; and a set's parity is
-PARITY words of bits in which every element flips one, so two sets differ in at least as many elements as their parities
-differ in bits. A group of copies is one class by then and leaves nothing to compare.
+exact Jaccard similarity of their shingle sets, and verified pairs make classes. Then the members of keys that still hold
+several classes meet again, so that no two nodes that share a key stay apart unless they cannot be alike. They do not
+meet under the key but under shingles: put in one order, rare ones first, two alike sets have a shingle in common within
+the first 11% of the smaller and the first 20% of the larger one (at 0.8). A template that many texts share fills the
+later places, so texts that are alike below the limit through a template never meet. A shingle whose members are one
+class makes no pair, the largest class under a shingle meets the others only, and a frequent shingle is cut into blocks
+of ROWS members, each pair of blocks a join key of its own. Sizes and parities rule pairs out inside the join: a set's
+parity is PARITY words of bits in which every element flips one, so two sets differ in at least as many elements as their
+parities in bits.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tempora.llm.bits import key_table, present
@@ -44,6 +49,11 @@ BAND = 4
 REGISTERS = BANDS * BAND
 #: 64-bit words of the parity of a shingle set.
 PARITY = 8
+#: Counters of the sketch that puts shingles in order, and how many of them make one block of it.
+CELLS = 1 << 20
+CELL_BLOCK = 1 << 16
+#: Members of a shingle that make one block of its pairs.
+ROWS = 2000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = (1 << 64) - 1
 
@@ -125,32 +135,98 @@ def parity(elements: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
 
 
-def _apart(nodes: DataFrame, led: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) not yet tested whose nodes share a key, have different roots and may be alike."""
+def _members(nodes: DataFrame, led: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the nodes under keys that hold several roots."""
     under = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key")) \
         .join(led.select("key", "low"), "key").where("node <> low")
     mixed = under.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    away = tested.select(F.col("a").alias("low"), F.col("b").alias("node"), "distance")
-    own = under.join(mixed, "key", "left_semi").join(away, ["low", "node"]).join(sets.select("node", F.size("shingles").alias("n"), "parity"), "node")
-    own = materialize(own.select("key", "node", "root", "distance", "n", "parity"), "mixed")
-    other = own.select("key", *[F.col(c).alias(f"{c}_") for c in own.columns if c != "key"])
-    near = F.abs(F.col("distance") - F.col("distance_")) <= 1 - similarity + 1e-9
+    return under.join(mixed, "key", "left_semi").select("node", "root").distinct()
+
+
+def _frequencies(sets: DataFrame) -> Broadcast:
+    """One byte for each of CELLS cells of shingles: the number of bits of its count over the sets."""
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(CELL_BLOCK, np.uint8)
+        out[pdf["cell"].to_numpy() % CELL_BLOCK] = np.ceil(np.log2(pdf["count"].to_numpy() + 1.0))
+        return pd.DataFrame({"block": [pdf["cell"].iloc[0] // CELL_BLOCK], "bits": [out.tobytes()]})
+
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy(F.pmod("shingle", F.lit(CELLS)).alias("cell")).count()
+    blocks = counts.groupBy(F.floor(F.col("cell") / CELL_BLOCK)).applyInPandas(fold, "block long, bits binary")
+    table = np.zeros(CELLS, np.uint8)
+    for row in blocks.toLocalIterator():
+        table[row["block"] * CELL_BLOCK:(row["block"] + 1) * CELL_BLOCK] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return sets.sparkSession.sparkContext.broadcast(table)
+
+
+def prefix_lengths(n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many first shingles of a set of n, as the smaller and as the larger one, hold one of any set alike to it."""
+    small = n - np.ceil(2 * n * similarity / (1 + similarity) - 1e-6) + 1
+    large = n - np.ceil(n * similarity - 1e-6) + 1
+    return np.minimum(small, n).astype(np.int64), np.minimum(large, n).astype(np.int64)
+
+
+def _prefixes(own: DataFrame, similarity: float) -> DataFrame:
+    """(node, root, n, parity, shingle, small) of the first shingles of the sets (node, root, shingles, parity)."""
+    order = _frequencies(own)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = order.value
+        for batch in batches:
+            firsts, smalls, sizes = [], [], []
+            for values in batch.column("shingles"):
+                s = values.values.to_numpy()
+                s = s[np.lexsort((s, table[s.view(np.uint32) % np.uint32(CELLS)]))]
+                small, large = prefix_lengths(np.int64(len(s)), similarity)
+                firsts.append(s[:large])
+                smalls.append(int(small))
+                sizes.append(len(s))
+            ends = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*firsts, np.empty(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "parity")), pa.array(sizes, pa.int64()), pa.array(smalls, pa.int64()), lists],
+                                             ["node", "root", "parity", "n", "smalls", "first"])
+
+    return own.mapInArrow(cut, "node long, root long, parity array<long>, n long, smalls long, first array<int>") \
+        .select("node", "root", "n", "parity", "smalls", F.posexplode("first").alias("place", "shingle")) \
+        .select("node", "root", "n", "parity", "shingle", (F.col("place") < F.col("smalls")).alias("small"))
+
+
+def _meetings(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join under shingles with several roots, and the columns at, side, i, j that they meet on.
+
+    Rows of the largest class under a shingle meet the rows of other classes only.
+    """
+    held = prefixes.groupBy("shingle", "root").count().groupBy("shingle") \
+        .agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("rows"), F.count("*").alias("roots")).where("roots > 1") \
+        .select("shingle", "main", F.ceil(F.col("rows") / ROWS).cast("int").alias("blocks"))
+    rows = prefixes.join(held, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("every", F.expr("sequence(0, blocks - 1)"))
+    main = F.col("root") == F.col("main")
+    at = ["node", "root", "n", "parity"]
+    low = rows.where("small").withColumn("side", F.explode(F.when(main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))) \
+        .select(*at, "shingle", "side", F.col("own").alias("i"), F.explode("every").alias("j"))
+    high = rows.select(*[F.col(c).alias(f"{c}_") for c in at], "shingle", F.when(main, 1).otherwise(0).alias("side"), F.explode("every").alias("i"), F.col("own").alias("j"))
+    return low, high
+
+
+def _apart(members: DataFrame, tested: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) not yet tested of the members (node, root) that have different roots and may be alike."""
+    own = members.join(sets, "node").select("node", "root", "shingles", "parity")
+    low, high = _meetings(materialize(_prefixes(materialize(own, "mixed"), similarity), "prefixes"))
+    sizes = (F.col("n") <= F.col("n_")) & (F.col("n") >= F.col("n_") * similarity - 1e-6)
     # sets with N elements together are alike if no more than N (1 - s) / (1 + s) of them are in one set only
     differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_")[i])) for i in range(PARITY)), F.lit(0))
     few = differ <= (F.col("n") + F.col("n_")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    met = own.join(other, "key").where((F.col("root") < F.col("root_")) & near & few)
+    met = low.join(high, ["shingle", "side", "i", "j"]).where((F.col("root") != F.col("root_")) & sizes & few)
     pairs = met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, every, distance): the pairs' counts of common and of all shingles, and their Jaccard distances."""
+    """(a, b, common, every): the pairs' counts of common and of all shingles."""
     common = F.size(F.array_intersect("sa", "sb"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b") \
         .select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    every = F.col("sizes") - F.col("common")
-    return both.select("a", "b", "common", every.alias("every"), (1 - F.col("common") / every).alias("distance"))
+    return both.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("every"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,7 +270,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     alike = F.col("common") >= similarity * F.col("every")
     tested = materialize(_distances(pairs, sets), "distances")
     roots = materialize(components(tested.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    rest = materialize(_apart(wanted, led, roots, tested, sets, similarity), "rest")
+    rest = materialize(_apart(_members(wanted, led, roots), tested, sets, similarity), "rest")
     found = materialize(_distances(rest, sets).where(alike).select("a", "b"), "found")
     if not found.isEmpty():
         # classes become nodes: the links found join them to larger ones

@@ -276,6 +276,35 @@ def test_no_link_under_a_shared_key_is_lost(spark, monkeypatch):
     assert [got[i]["class_id"] for i in range(len(texts))] == root
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.75, 0.8])
+def test_alike_sets_meet_in_their_prefixes(similarity):
+    rng = random.Random(3)
+    for _ in range(3000):
+        x, y = rng.randrange(1, 40), rng.randrange(1, 40)
+        common = rng.randrange(0, min(x, y) + 1)
+        if common < similarity * (x + y - common):
+            continue
+        order = rng.sample(range(x + y - common), x + y - common)
+        a, b = sorted((sorted(order[:x]), sorted(order[x - common:])), key=len)
+        small, large = neardup.prefix_lengths(np.int64(len(a)), similarity)[0], neardup.prefix_lengths(np.int64(len(b)), similarity)[1]
+        assert set(a[:small]) & set(b[:large])
+
+
+def test_a_template_under_one_key_makes_no_pairs(spark):
+    # 20,000 texts under one key: 80 shingles of a template and 20 of their own, so alike at 0.67; two have a near copy
+    own = spark.range(20_000).select(F.col("id").alias("node"), F.expr("array_union(transform(sequence(1, 80), i -> cast(xxhash64(-i) >> 32 as int)), "
+                                     "transform(sequence(1, 20), i -> cast(xxhash64(id, i) >> 32 as int)))").alias("shingles"))
+    copies = own.where("node in (5, 17777)").select((F.col("node") + 100_000).alias("node"), F.expr("slice(shingles, 3, 98)").alias("shingles"))
+    own = own.unionByName(copies).withColumn("root", F.col("node"))
+    flags = F.transform(F.sequence(F.lit(0), F.lit(neardup.PARITY - 1)), lambda i: F.lit(0).cast("long"))  # these rule nothing out
+    sets = own.select("node", "shingles", flags.alias("parity"))
+    low, high = neardup._meetings(neardup._prefixes(own.withColumn("parity", flags), 0.8))
+    assert low.join(high, ["shingle", "side", "i", "j"]).count() < 1000
+    none = spark.createDataFrame([], "a long, b long")
+    got = neardup._distances(neardup._apart(own.select("node", "root"), none, sets, 0.8), sets).where("common >= 0.8 * every")
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(5, 100_005), (17_777, 117_777)]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (20, 21), (21, 1), (5, 5)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(200, 240)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}

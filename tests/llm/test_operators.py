@@ -362,6 +362,54 @@ def test_spelling_sums_all_segmentations():
         assert lattice.spelling(word, pieces, math.log(.1), 3) == pytest.approx(math.log(every(b" " + word) * .1))
 
 
+def test_scores_by_all_segmentations(spark):
+    rng = random.Random(12)
+    known = ["".join(rng.choice("aeinrst") for _ in range(3)) for _ in range(90)] + ["e", "on", "ü", "stern"]
+    texts = [" ".join(rng.choice(known) for _ in range(rng.randrange(12))) for _ in range(60)] + [None, "", "neverseen"]
+    got = by_id(lattice.score(frame(spark, texts), rounds=2))
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for i in learned for w in tokens[i])
+
+    def cuts(s, pieces):
+        if not s:
+            yield 1.0, ()
+        for k in range(1, len(s) + 1):
+            if s[:k] in pieces:
+                yield from ((math.exp(pieces[s[:k]]) * p, (s[:k], *rest)) for p, rest in cuts(s[k:], pieces))
+
+    sp, first = lattice._processor(lattice.default_pieces()), Counter({-1: len(c)})
+    for w in c:
+        first.update(sp.encode(w.decode()))
+    pieces, end = lattice.arcs(lattice.default_pieces(), first)
+    for _ in range(2):
+        weight = Counter()
+        for w in c:
+            every = list(cuts(b" " + w, pieces))
+            for p, own in every:
+                for piece in own:
+                    weight[piece] += p / sum(q for q, _ in every)
+        total = math.log(sum(weight.values()) + lattice.PIECE_COUNT * (len(pieces) + 1) + len(c))
+        pieces = {p: math.log(weight[p] + lattice.PIECE_COUNT) - total for p in pieces}
+        end = math.log(len(c) + lattice.PIECE_COUNT) - total
+    model = lattice.Model(sum(c.values()) + len(learned), len(learned), len(c), sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values()))
+    for i, own in enumerate(tokens):
+        want = sum(model.score(c[w], math.log(sum(p for p, _ in cuts(b" " + w, pieces))) + end) for w in own) + model.end_score()
+        assert got[i]["score"] == pytest.approx(want, rel=1e-6), texts[i]
+
+
+def test_lattices_of_many_words_equal_those_of_one():
+    rng = random.Random(13)
+    words = [bytes(rng.choice(b"abc\xc3\xbc") for _ in range(rng.choice([1, 2, 5, 5, 5, 9, 60]))) for _ in range(400)]
+    pieces = {bytes([b]): rng.uniform(-9, -5) for b in range(256)} | {p: rng.uniform(-7, -2) for p in (b" a", b"ab", b"abc", b"bca", b"\xc3\xbc", b"cccc", b" ab")}
+    many = lattice.Lattices(pieces)
+    assert many.spelled(words, -1.5) == pytest.approx([lattice.spelling(w, pieces, -1.5, 4) for w in words])
+    want = Counter()
+    for w in words:
+        want.update(lattice.expected(w, pieces, 4))
+    assert many.expected(words) == pytest.approx([want[p] for p in pieces])
+
+
 @pytest.mark.parametrize("frequent", [20, 200_000])
 def test_scores(spark, docs, texts, frequent):
     got = by_id(lattice.score(docs, frequent=frequent))

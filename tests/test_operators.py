@@ -1,4 +1,5 @@
 import math
+import time
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -121,6 +122,32 @@ def test_nearest_against_brute_force(spark):
             assert got[tuple(v)][0] in near
 
 
+def test_nearest_at_embedding_width(spark):
+    """40 million pairs of unclustered vectors, where no cell can be ruled out, against one product in memory."""
+    rng = np.random.default_rng(5)
+    keys, queries = rng.normal(size=(20000, 64)), rng.normal(size=(2000, 64))
+    keys[7] = 3 * keys[5]  # parallel keys tie
+    queries[0] = 2 * keys[5]
+    k = spark.createDataFrame(pd.DataFrame({"k": keys.tolist()}), "k array<double>")
+    q = spark.createDataFrame(pd.DataFrame({"q": queries.tolist()}), "q array<double>")
+    start = time.monotonic()
+    got = {tuple(r.q): (tuple(r.k), r.similarity) for r in nearest_vectors(q, k, chunk=300).collect()}
+    assert time.monotonic() - start < 60
+    sims = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (keys / np.linalg.norm(keys, axis=1)[:, None]).T
+    assert got[tuple(queries[0])] == (min(tuple(keys[5]), tuple(keys[7])), 1.0)
+    for v, i, s in zip(queries[1:], sims.argmax(axis=1)[1:], sims.max(axis=1)[1:]):
+        assert got[tuple(v)][0] == tuple(keys[i]) and got[tuple(v)][1] == pytest.approx(s, abs=1e-11)
+
+
+def test_nearest_leaves_other_lengths_out(spark):
+    k = spark.createDataFrame([([1.0],), ([1.0, 0.0],), ([0.0, 1.0],), ([math.nan, 1.0],), ([0.0, 0.0],)], "k array<double>")
+    q = spark.createDataFrame([([0.2, 1.0],), ([3.0],), ([1.0, 1.0, 1.0],), ([math.nan, 2.0],)], "q array<double>")
+    got = {str(r.q): (r.k, r.similarity) for r in nearest_vectors(q, k, 2, 1).collect()}
+    assert got["[0.2, 1.0]"][0] == [0.0, 1.0] and got["[3.0]"] == ([1.0], 1.0)
+    assert got["[1.0, 1.0, 1.0]"] == ([0.0, 0.0], None)
+    assert got["[nan, 2.0]"][0] == [0.0, 1.0] and math.isnan(got["[nan, 2.0]"][1])
+
+
 def test_nearest_tie_takes_smallest(spark):
     q = spark.createDataFrame([([1.0, 1.0],)], "q array<double>")
     k = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],), ([0.0, 0.0],)], "k array<double>")

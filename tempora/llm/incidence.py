@@ -7,6 +7,10 @@ x - ceil(P x / 100) + 1 columns of each. Columns are ordered by frequency, rare
 all shingles of all documents gives each its class, so frequent columns are left out of the product wherever a bound
 allows. The sketch decides the order only; any order gives the same links.
 
+Most columns of a prefix belong to one row only and never leave the task that reads the row: tasks send the sorted cells
+of their columns, a few bytes each and each once, and a bit table of the cells that come twice says which entries to give
+out. Cells and bits can be shared by chance, so some columns of one row pass; they make no pair.
+
 The product is taken in two steps, because a column of m near copies has m^2 entries:
 
 1. Pivots. Every column has one row for a pivot, the one with the largest share of its prefix in columns that others have
@@ -53,6 +57,9 @@ ROWS = 2000
 SLICE_BYTES = 1 << 18
 #: 64-bit words of a set's parity.
 PARITY = 8
+#: Columns are told apart by so many bits when those of several rows are looked for; a task sends so many at once.
+CELL_BITS = 40
+SEND = 1 << 20
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -149,9 +156,72 @@ def _signed(docs: DataFrame, classes: Broadcast, cells: int, k: int, percent: in
     return docs.mapInArrow(sign, "doc_id long, th long, k1 long, k2 long, n long, prefix array<long>, parity array<long>")
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _shared_cells(nodes: DataFrame) -> DataFrame:
+    """(cell) of every column that prefixes of several rows have."""
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    width = CELL_BITS - int(min(16, max(8, np.ceil(np.log2(max(1.0, total / (1 << 18)))))))
+
+    def packed(cells: np.ndarray) -> pa.RecordBatch:
+        found, counts = np.unique(cells, return_counts=True)
+        cells = np.repeat(found, np.minimum(counts, 2))
+        blocks, at = np.unique(cells >> np.uint64(width), return_index=True)
+        rows = []
+        for block, own in zip(blocks.tolist(), np.split(cells, at[1:])):
+            steps = np.diff(own - np.uint64(block << width), prepend=np.uint64(0)).astype("<u4")
+            rows.append(zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32), pa.int32()), pa.array(rows, pa.binary())], ["block", "cells"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(_values(batch.column("prefix")) & np.uint64((1 << CELL_BITS) - 1))
+            n += len(held[-1])
+            if n >= SEND:
+                yield packed(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield packed(np.concatenate(held))
+
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in pdf["cells"]]
+        found, counts = np.unique(np.concatenate([np.cumsum(x, dtype=np.int64) for x in steps]), return_counts=True)
+        return pd.DataFrame({"cell": found[counts > 1] + (int(pdf["block"].iloc[0]) << width)})
+
+    return nodes.select("prefix").mapInArrow(send, "block int, cells binary").groupBy("block").applyInPandas(several, "cell long")
+
+
+def prefix_entries(nodes: DataFrame) -> DataFrame:
+    """(g, node, n, i, common) of the prefixes' columns that several rows have, and by chance some others.
+
+    i is the place of the column in the row's order, common the share of the row's prefix that is given out.
+    """
+    cells = materialize(_shared_cells(nodes), "cells")
+    bits, n_bits = key_table(cells, F.col("cell"), 4 * cells.count())
+    schema = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("i", pa.int32()), ("common", pa.float64())])
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        for batch in batches:
+            sizes = batch.column("prefix").value_lengths().to_numpy()
+            values = _values(batch.column("prefix"))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(present(table, (values & np.uint64((1 << CELL_BITS) - 1)) % np.uint64(n_bits)))
+            row = row[at]
+            common = np.bincount(row, minlength=len(sizes)) / np.maximum(sizes, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), pa.array(batch.column("node").to_numpy()[row]), pa.array(batch.column("n").to_numpy()[row]),
+                                              pa.array(place[at].astype(np.int32)), pa.array(common[row])], schema=schema)
+
+    return nodes.select("node", "n", "prefix").mapInArrow(give, "g long, node long, n long, i int, common double")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, elements) of the wanted nodes; texts of others are left out before any shuffle."""
-    bits, n_bits = key_table(wanted, F.col("th"), wanted.count())
+    """(node, elements) of the wanted nodes; texts of others are left out before any shuffle, all but one in sixty."""
+    bits, n_bits = key_table(wanted, F.col("th"), 8 * wanted.count())
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +241,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
 
     found = docs.select("th", "text").mapInArrow(gather, "k1 long, k2 long, elements array<long>")
-    return found.join(wanted.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("node").agg(F.max("elements").alias("elements"))
+    once = found.groupBy("k1", "k2").agg(F.max("elements").alias("elements"))
+    return once.join(wanted.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "elements")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,10 +325,7 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
     grouped = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.max("prefix").alias("prefix"), F.first("parity").alias("parity"))
     # ids are unique because they are read back from the table they were written to
     nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("i", "g"))
-    shared = entries.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
-    entries = materialize(entries.join(shared, "g"), "entries")
-    common = entries.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(nodes.select("node", F.size("prefix").alias("of")), "node").select("node", (F.col("c") / F.col("of")).alias("common"))
+    entries = materialize(prefix_entries(nodes), "entries")
     roots, sets, tested = None, None, None
     round_ = 0
     while round_ <= rounds:
@@ -266,17 +334,18 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, ro
         else:
             columns = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         last = round_ == rounds
-        pairs = (block_pairs(columns, nodes.select("node", "parity"), percent, rows) if last else pivot_pairs(columns.join(common, "node"), round_, percent)).select("a", "b")
+        pairs = (block_pairs(columns, nodes.select("node", "parity"), percent, rows) if last else pivot_pairs(columns, round_, percent)).select("a", "b")
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("node"), "node", "left_anti")
-        wanted = materialize(ends.join(nodes.select("node", "k1", "k2", "th"), "node"), "ends")
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes-of-pairs")
+        known = ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")
+        wanted = materialize(known.join(nodes.select("node", "k1", "k2", "th"), "node"), "ends")
+        fresh = None
         if not wanted.isEmpty():
             fresh = materialize(_full_sets(source, wanted, k), "elements")
             sets = fresh if sets is None else sets.unionByName(fresh)
-        links = None if sets is None else materialize(_linked(pairs, sets, percent), "linked")
+        # elements are long: sets that no pair of this round names stay where they are
+        links = None if sets is None else materialize(_linked(pairs, sets if sets is fresh else sets.join(ends, "node", "left_semi"), percent), "linked")
         if links is None or links.isEmpty():
             round_ = rounds + 1 if last else rounds  # other pivots would not help much: on to the blocks
             continue

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,30 @@ def test_prefixes_and_needs(spark):
             assert want >= r.x - incidence.prefix_length(np.int64(r.x)) + 1 and want >= r.y - incidence.prefix_length(np.int64(r.y)) + 1
 
 
+def test_only_columns_of_several_rows_leave_a_task(spark):
+    """Each row's prefix has 40 columns of its own and up to two that other rows have; some beyond them pass by chance."""
+    rng = np.random.default_rng(3)
+    own = rng.integers(-2 ** 63, 2 ** 63, (5000, 40))
+    shared = rng.integers(-2 ** 63, 2 ** 63, 1000)
+    prefixes = [[int(x) for x in row[:20]] + [int(shared[d % 1000])] * (d < 3000) + [int(x) for x in row[20:]] + [int(shared[7])] * (d == 9) for d, row in enumerate(own)]
+    nodes = spark.createDataFrame([(d, 60, x) for d, x in enumerate(prefixes)], "node long, n long, prefix array<long>").repartition(7)
+    got = incidence.prefix_entries(nodes).collect()
+    want = {(int(shared[d % 1000]), d, 60, 20) for d in range(3000)} | {(int(shared[7]), 9, 60, 41)}
+    assert want <= {(r.g, r.node, r.n, r.i) for r in got}
+    assert len(got) < len(want) + 0.05 * own.size
+    assert all(prefixes[r.node][r.i] == r.g and 0 < r.common <= 1 for r in got)
+    assert incidence.prefix_entries(nodes.where("false")).collect() == []
+
+
+def test_full_sets_are_gathered_once(spark):
+    texts = [" ".join(f"w{d}x{i}" for i in range(30)) for d in range(400)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:50]]], "text string").selectExpr("text", "xxhash64(text) AS th").repartition(5)
+    keys = [incidence.set_keys(own) for own in incidence.parts(*incidence.shingles(pa.array(texts[:20]), 5))]
+    named = spark.createDataFrame([(d, t, *k) for d, (t, k) in enumerate(zip(texts, keys))], "node long, text string, k1 long, k2 long")
+    got = incidence._full_sets(docs, named.selectExpr("node", "k1", "k2", "xxhash64(text) AS th"), 5).collect()
+    assert sorted(r.node for r in got) == list(range(20)) and {len(r.elements) for r in got} == {26}
+
+
 def test_incidence_join_of_odd_rows(spark):
     odd = spark.createDataFrame(ODD, SCHEMA).repartition(3)
     got = incidence.join_documents(clashing(odd))

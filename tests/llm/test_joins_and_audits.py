@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm import audit, incidence, whitening
+from tempora.session import work_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -174,6 +176,28 @@ def test_full_sets_are_gathered_once(spark):
     assert sorted(r.node for r in got) == list(range(20)) and {len(r.elements) for r in got} == {26}
 
 
+def test_incidence_join_writes_neither_prefixes_nor_sets(spark):
+    """The shared folder takes about 200 bytes a row; the prefixes of these rows have 490 bytes each and the sets 2,400."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10 ** 7)}" for _ in range(304)) for _ in range(3000)]
+    texts += [t + " end" for t in texts[:600]]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in enumerate(texts)], SCHEMA).repartition(4)
+    folder = Path(work_dir(spark).removeprefix("file://"), spark.sparkContext.applicationId)
+    before = {*folder.rglob("*.parquet")}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in incidence.join_documents(docs).collect()}
+    assert got == {d: (300 + (d >= 3000), d - 3000 * (d >= 3000)) for d in range(3600)}
+    assert sum(f.stat().st_size for f in {*folder.rglob("*.parquet")} - before if f.is_file()) < 500 * len(texts)
+
+
+def test_incidence_join_of_repeated_sets(spark):
+    """Rows of one set in several partitions, some of them alike in all columns, count its columns once."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w59", "x")
+    docs = [(d, t) for d in range(40) for t in (base, near.upper(), f"{d} only")] * 2
+    got = incidence.join_documents(spark.createDataFrame([(d, t, "en", "s", 0) for d, t in docs], SCHEMA).repartition(9), rows=4)
+    assert Counter(tuple(r) for r in got.collect()) == brute_components(docs)
+
+
 def test_incidence_join_of_odd_rows(spark):
     odd = spark.createDataFrame(ODD, SCHEMA).repartition(3)
     got = incidence.join_documents(clashing(odd))
